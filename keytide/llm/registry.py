@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_reputation
+from . import bpe, exact_dedup, token_files, url_reputation
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_reputation": url_reputation.op7_url_reputation,
+    "op8_token_files": token_files.op8_token_files,
 }
 
 SQL = {
