@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, token_files, url_reputation
+from . import bpe, exact_dedup, simhash, token_files, toxicity, url_reputation
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_reputation": url_reputation.op7_url_reputation,
     "op8_token_files": token_files.op8_token_files,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 SQL = {
