@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash, token_files, toxicity, url_reputation
+from . import bpe, decontaminate, exact_dedup, simhash, token_files, toxicity, url_reputation
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_reputation": url_reputation.op7_url_reputation,
