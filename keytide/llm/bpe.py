@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pieces of text that a worker remembers.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 200_000
 #: Texts are read in batches of so many rows.
 BATCH_ROWS = 500
 NO_RANK = np.iinfo(np.int64).max
