@@ -1,18 +1,48 @@
-"""A corpus cleaned in stages, each of which calls one training-data operator."""
+"""A corpus cleaned in stages, each of which calls one training-data operator.
+
+Every stage works on all rows its predecessor kept.  All but the last return
+the columns of ``documents``; the last returns what ``op2_bpe`` returns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keytide.llm import common, exact_dedup
+from keytide.llm import bpe, common, decontaminate, exact_dedup, simhash, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model, fitted on the labelled ones, accepts."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
     return exact_dedup.deduplicate(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the document with the least id."""
+    return simhash.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.remove(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    path = bpe.default_path()
+    return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("bpe", tokenize),
 ]
 
 #: No SQL: a brute-force version is in tests/llm/test_pipeline.py.

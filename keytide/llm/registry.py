@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, lm_score, simhash, token_files, toxicity, url_reputation
+from . import bpe, decontaminate, exact_dedup, html_text, lm_score, simhash, substring_dedup, token_files, toxicity, url_reputation
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_bpe": bpe.op2_bpe,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
