@@ -34,3 +34,12 @@ def parse_lines(text: DataFrame) -> DataFrame:
     space loses its rest to the value."""
     parts = F.split("value", " ", 3)
     return text.filter("value <> ''").select(F.upper(parts[0]).alias("op"), F.try_element_at(parts, F.lit(2)).alias("key"), F.try_element_at(parts, F.lit(3)).alias("value"))
+
+
+def session(ops: DataFrame, cut: int) -> DataFrame:
+    """What a replica is sent, (ord, value): the full copy between its two
+    markers, then each later write and delete as a line."""
+    copy = lines(full_sync(ops, cut)).select(F.lit(1).cast("bigint").alias("ord"), "value")
+    marks = copy.sparkSession.createDataFrame([(0, "+FULLSYNC"), (2, "+FULLSYNC_DONE")], "ord bigint, value string")
+    later = forwarded(ops, cut).select((F.col("seq") + 3).alias("ord"), F.concat_ws(" ", "op", "key", F.when(F.col("op") == "SET", F.col("value"))).alias("value"))
+    return marks.unionByName(copy).unionByName(later)

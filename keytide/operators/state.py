@@ -122,6 +122,19 @@ def due(kv: DataFrame, now: int, limit: int = 100) -> DataFrame:
     return kv.filter(F.col("expires_at_us") <= now).orderBy("expires_at_us", "key").limit(limit)
 
 
+def evict(kv: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(what stays, events): all due entries go at once, each with an event
+    (event, key, ts_us) at its instant."""
+    gone = kv.filter(F.col("expires_at_us") <= now)
+    return visible(kv, now), gone.select(F.lit("EXPIRE").alias("event"), "key", F.col("expires_at_us").alias("ts_us"))
+
+
+def since_flush(ops: DataFrame) -> DataFrame:
+    """The log after its last FLUSH; the position of that is one number."""
+    last = ops.filter("op = 'FLUSH'").agg(F.max("seq")).first()[0]
+    return ops if last is None else ops.filter(F.col("seq") > last)
+
+
 def keys_in_slot(kv: DataFrame, slot: int, count: int) -> DataFrame:
     """Up to ``count`` keys of a slot, the least first."""
     return kv.filter(hashing.slot(F.col("key")) == slot).select("key").orderBy("key").limit(count)

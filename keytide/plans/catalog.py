@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keytide import model
 from keytide.functions import hashing, stats
 from keytide.operators import cluster, commands, pubsub, replication, state, transactions, triggers
-from keytide.sources import resp, wal
+from keytide.sources import resp, wal, workloads
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -155,6 +155,41 @@ def command_replies(spark, sf_dir):
     return commands.replies(ops.select("conn", "seq", "ts_us", cmd.alias("cmd"), args.alias("args")))
 
 
+@query(REPLAY_SQL + " SELECT 'EXPIRE' AS event, key, expires_at_us AS ts_us FROM kv, now WHERE expires_at_us <= as_of + 86400000000")
+def kv_expired_events(spark, sf_dir):
+    kv, now = _replayed(spark, sf_dir)
+    return state.evict(kv, now + 86_400_000_000)[1]
+
+
+@query(REPLAY_SQL.replace("ops AS (", "all_ops AS (").replace("FROM events),\nnow", "FROM events),\nops AS (SELECT * FROM all_ops WHERE seq > (SELECT max(seq) // 2 FROM all_ops)),\nnow") + " SELECT key, value FROM kv")
+def kv_after_flush(spark, sf_dir):
+    """A flush at half of the log."""
+    ops = model.ops_from_events(spark, sf_dir)
+    half = ops.agg(F.max("seq")).first()[0] // 2
+    mark = ops.filter(F.col("seq") == half).withColumn("op", F.lit("FLUSH"))
+    log = state.since_flush(ops.filter(F.col("seq") != half).unionByName(mark))
+    return state.replay(log, model.last_instant(ops)).select("key", "value")
+
+
+@query("WITH n AS (SELECT i, i % 5 = 0 AS w, 'key:' || (i * 7919 % 1000) AS key FROM range(20000) t(i)) SELECT CASE WHEN w THEN 'SET' ELSE 'GET' END AS cmd, count(*) AS n, count(DISTINCT key) AS keys FROM n GROUP BY 1")
+def workload_mixed(spark, sf_dir):
+    rows = workloads.mixed(spark, 20_000, 1000)
+    return rows.groupBy("cmd").agg(F.count("*").alias("n"), F.countDistinct(F.col("args")[0]).alias("keys"))
+
+
+@query("SELECT substr(reply, 1, 1) AS kind, count(*) AS n FROM (SELECT CASE WHEN i % 5 = 0 THEN '+' WHEN EXISTS (SELECT 1 FROM range(2000) u(j) WHERE j % 5 = 0 AND j < i AND j * 7919 % 100 = i * 7919 % 100) THEN '$x' ELSE '$-1' END AS reply FROM range(2000) t(i)) GROUP BY 1")
+def workload_replies(spark, sf_dir):
+    """The mixed load answered: kinds of replies."""
+    rows = commands.replies(workloads.mixed(spark, 2000, 100))
+    return rows.groupBy(F.substring("reply", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 500::BIGINT AS published, 5000::BIGINT AS received, 5000::BIGINT AS expected, 100.0::DOUBLE AS rate")
+def workload_pubsub(spark, sf_dir):
+    log, sent = workloads.published(spark, 500)
+    return stats.delivery_rate(pubsub.delivered(log, sent), 10)
+
+
 # ------------------------------------------------------- hashing and routing
 
 BYTES = "list_transform(string_split({k}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
@@ -524,6 +559,24 @@ def stream_replica(spark, sf_dir):
     return kv.replica(kv.read_log(spark, f"{folder}/log", ops.schema), half, f"{folder}/state", replication.full_sync(ops, half))
 
 
+@query(SQL["kv_live"])
+def stream_kv_live(spark, sf_dir):
+    """The state processor with expiry over the log as a stream of files."""
+    from keytide.streaming import kv
+
+    folder, ops = _log_folder(spark, sf_dir)
+    as_of = model.last_instant(ops)
+    rows = kv.run_to_memory(kv.live_states(kv.read_log(spark, f"{folder}/log", ops.schema, 1)), f"{folder}/state", "append")
+    last = rows.groupBy("key").agg(F.max(F.struct("seq", "exists", "value", "expires_at_us")).alias("e")).filter("e.exists")
+    return state.visible(last.select("key", "e.value", "e.expires_at_us", F.col("e.seq").alias("last_seq")), as_of)
+
+
+@query("WITH " + OPS_SQL + ", h AS (SELECT max(seq) // 2 AS half FROM ops), c AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM ops, h WHERE op IN ('SET', 'DEL') AND seq <= half GROUP BY key) SELECT 1::BIGINT AS ord, 'SET ' || key || ' ' || value AS value FROM c WHERE op = 'SET' UNION ALL SELECT seq + 3, CASE op WHEN 'SET' THEN 'SET ' || key || ' ' || value ELSE 'DEL ' || key END FROM ops, h WHERE op IN ('SET', 'DEL') AND seq > half UNION ALL SELECT 0, '+FULLSYNC' UNION ALL SELECT 2, '+FULLSYNC_DONE'")
+def replica_session(spark, sf_dir):
+    ops = model.ops_from_events(spark, sf_dir)
+    return replication.session(ops, ops.agg(F.max("seq")).first()[0] // 2)
+
+
 @query("WITH " + OPS_SQL + ", w AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM ops WHERE op IN ('SET', 'DEL') GROUP BY key) SELECT key, value FROM w WHERE op = 'SET'")
 def replica_sync(spark, sf_dir):
     ops = model.ops_from_events(spark, sf_dir)

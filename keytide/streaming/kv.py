@@ -26,12 +26,23 @@ def last_writes(ops: DataFrame) -> DataFrame:
     return ops.filter(F.col("op").isin("SET", "DEL")).groupBy("key").agg(F.max(F.struct("seq", "op", "value")).alias("e")).select("key", "e.op", "e.value", "e.seq")
 
 
-def run_to_memory(stream: DataFrame, checkpoint: str, mode: str = "complete", name: str | None = None) -> DataFrame:
-    """Run all data there is through a query and return its table."""
-    name = name or "t" + uuid.uuid4().hex
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+#: State processors need a store with several tables a key.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_to_memory(stream: DataFrame, checkpoint: str, mode: str = "complete", name: str | None = None, provider: str = ROCKSDB) -> DataFrame:
+    """Run all data there is through a query and return its table.  The state
+    store's kind is set for this query only."""
+    name, spark = name or "t" + uuid.uuid4().hex, stream.sparkSession
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, provider)
+    try:
+        query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    return spark.table(name)
 
 
 def replica(ops: DataFrame, cut: int, checkpoint: str, copy: DataFrame) -> DataFrame:
