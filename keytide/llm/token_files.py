@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -160,43 +161,64 @@ class PieceEncoder:
         vocab = self.lib.get_vocab()
         self.is_end = np.zeros(1 + max(vocab.values()), bool)
         self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        #: A word of plain letters, perhaps with one mark after it: one or two words for the library.
-        self.plain = re.compile("[A-Za-zà-öø-ÿß]+([.,;:!?]?)")
+        #: Marks, letters, marks: as many words for the library as groups match.
+        marks, letters = r"([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]+)?", "([A-Za-zÀ-ÖØ-öø-ÿ]+)?"
+        self.plain = re.compile(marks + letters + marks)
         self.odd = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f᠎​  ⁠﻿]")
+        self.packed = np.dtype("<u2" if len(self.is_end) <= 1 << 16 else "<u4")
+        self.words: dict[str, bytes] = {"": b""}  # marks and lower-case words
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the memo before this one
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.packed).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> bool:
+        """Ids of words that are one word for the library too.  Many go in one
+        call, joined by spaces, and are told apart by the tokens that end a
+        word; False if the vocabulary doesn't mark these."""
+        for k in range(0, len(words), 256):
+            some = words[k : k + 256]
+            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.packed)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some):
+                return False
+            raw, cuts = ids.tobytes(), (self.packed.itemsize * ends).tolist()
+            self.words.update((w, raw[a:b]) for w, a, b in zip(some, [0, *cuts], cuts))
+        return True
 
     def _learn(self, pieces: list[str]) -> None:
-        """Plain words go to the library many at a time, joined by spaces, and
-        their ids are told apart by the tokens that end a word."""
-        plain, other = [], []
+        """Plain pieces are put together from their words in lower case; only
+        words not met before and all other pieces go to the library."""
+        parts, other = {}, []
         for p in pieces:
             m = self.plain.fullmatch(p)
-            (plain.append((p, 1 + len(m[1]))) if m else other.append(p))
-        for k in range(0, len(plain), 256):
-            some = plain[k : k + 256]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(p for p, _ in some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            counts = np.cumsum([n for _, n in some])
-            if counts[-1] != len(ends):  # not a vocabulary that marks each word's end
-                other += [p for p, _ in some]
-                continue
-            raw, cuts = ids.tobytes(), (4 * ends[counts - 1]).tolist()
-            self.memo.update((p, raw[a:b]) for (p, _), a, b in zip(some, [0, *cuts], cuts))
+            if m:
+                a, w, b = m.groups("")
+                parts[p] = a, w.lower(), b
+            else:
+                other.append(p)
+        new = set(chain.from_iterable(parts.values())).difference(self.words)
+        if len(self.words) + len(new) > MEMO_PIECES:
+            self.words = {"": b""}
+            new = set(chain.from_iterable(parts.values())) - {""}
+        if self._learn_words(list(new)):
+            get = self.words.__getitem__
+            self.memo.update((p, get(a) + get(w) + get(b)) for p, (a, w, b) in parts.items())
+        else:
+            other += parts
         self.memo.update(zip(other, self._ids(other)))
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         cuts = [None if self.odd.search(t) else t.split() for t in texts]
-        new = {p for c in cuts if c for p in c} - self.memo.keys()
+        pieces = set(chain.from_iterable(c for c in cuts if c))
+        new = pieces.difference(self.memo)
         if len(self.memo) + len(new) > MEMO_PIECES:
             self.old, self.memo = self.memo, {}
-            new = {p for c in cuts if c for p in c}
-        known = new & self.old.keys()
+            new = pieces
+        known = {p for p in new if p in self.old}
         self.memo.update((p, self.old[p]) for p in known)
-        self._learn(list(new - known))
+        self._learn(list(new.difference(known)))
         get = self.memo.__getitem__
         return [self._ids([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts)]
 
@@ -215,7 +237,7 @@ def _no_id(kind: T.DataType) -> None:
 
 
 def segments(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments (part, seg, n_ids, n_docs, data) of all documents by ascending id.
+    """Segments (part, seg, before, n_ids, n_docs, data) of all documents by ascending id.
 
     Null texts are empty; each document gets ``end_id`` appended.  Rows are
     dealt by ranges of the id and sorted; repeated ids are ordered by text,
@@ -231,22 +253,24 @@ def segments(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: st
         from pyspark import TaskContext
 
         part, seg = TaskContext.get().partitionId(), 0
-        enc, tail = encoder(path), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        names, held, count = [], [], 0
+        enc = encoder(path)
+        kind, size = enc.packed, enc.packed.itemsize
+        tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
+        names, held, count, before = [], [], 0, 0
 
         def close():
-            nonlocal names, held, count, seg
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            data = encode_segment(np.array(names, np.int64), lengths, np.frombuffer(b"".join(held), "<u4").astype(np.int64))
-            out = pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "n_ids": int(lengths.sum()), "n_docs": len(names), "data": data}], SEGMENT_ARROW)
-            names, held, count, seg = [], [], 0, seg + 1
+            nonlocal names, held, count, seg, before
+            lengths = np.array([len(x) // size for x in held], np.int64)
+            data = encode_segment(np.array(names, np.int64), lengths, np.frombuffer(b"".join(held), kind).astype(np.int64))
+            out = pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "before": before, "n_ids": count, "n_docs": len(names), "data": data}], SEGMENT_ARROW)
+            names, held, count, seg, before = [], [], 0, seg + 1, before + count
             return out
 
         for b in slices(batches):
             for name, ids in zip(b.column(0).to_pylist(), enc.encode_packed(b.column(1).to_pylist())):
                 names.append(name)
                 held.append(ids + tail)
-                count += len(ids) // 4 + bool(tail)
+                count += len(ids) // size + bool(tail)
                 if count >= SEGMENT_IDS:
                     yield close()
         if names:
@@ -255,8 +279,8 @@ def segments(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: st
     return dealt.mapInArrow(work, SEGMENT_SCHEMA)
 
 
-SEGMENT_SCHEMA = "part int, seg int, n_ids bigint, n_docs bigint, data binary"
-SEGMENT_ARROW = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
+SEGMENT_SCHEMA = "part int, seg int, before bigint, n_ids bigint, n_docs bigint, data binary"
+SEGMENT_ARROW = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
 
 
 def write(docs: DataFrame, to: str, path: str, end_id: int | None = END_ID) -> None:
@@ -270,18 +294,15 @@ def read(spark: SparkSession, at: str) -> DataFrame:
 def documents(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of each document in the files.
 
-    ``start`` counts the ids of all documents before: sums per segment are
-    added up over segments of a part and over parts, of which there are as
-    many as the writer had partitions.
+    ``start`` counts the ids of all documents before: a segment knows how many
+    its part has before it, and the parts, of which there are as many as the
+    writer had partitions, are added up.  The files themselves don't move.
     """
     from pyspark.sql import Window
 
-    sizes = files.select("part", "seg", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     parts = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("base"))
-    inside = sizes.select("part", "seg", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("seg")) - F.col("n_ids")).alias("before"))
-    starts = inside.join(F.broadcast(parts), "part").select("part", "seg", (F.col("base") + F.col("before")).alias("first_id"))
-    rows = files.join(starts, ["part", "seg"]).select("first_id", "data")
+    rows = files.join(F.broadcast(parts), "part").select((F.col("base") + F.col("before")).alias("first_id"), "data")
 
     def work(batches):
         for b in batches:

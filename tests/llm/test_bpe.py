@@ -65,14 +65,14 @@ def test_query_columns(spark, byte_lib):
 @given(st.lists(st.text(st.one_of(st.sampled_from("aB 's\n\t.,<|endoftext|>é"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=5))
 def test_word_ids_are_the_librarys(texts):
     lib, own = Tokenizer.from_file(token_files.default_path()), token_files.encoder(token_files.default_path())
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_packed(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, own.packed).tolist() for x in own.encode_packed(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_word_ids_of_odd_texts(word_lib, monkeypatch):
     monkeypatch.setattr(token_files, "MEMO_PIECES", 5)
     own = token_files.PieceEncoder(token_files.default_path())
     for some in (ODD[:7], ODD[7:], ODD):
-        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_packed(some)] == [e.ids for e in word_lib.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, own.packed).tolist() for x in own.encode_packed(some)] == [e.ids for e in word_lib.encode_batch(some, add_special_tokens=False)]
 
 
 @settings(max_examples=60, deadline=None)
