@@ -137,13 +137,13 @@ class ByteBPE:
     def _recall(self, kind: str, pieces: set[str]) -> dict[str, bytes]:
         """The memo of pieces after ``kind``, made to hold all of ``pieces``."""
         memo, old = self.memos[kind]
-        new = pieces - memo.keys()
+        new = pieces.difference(memo)
         if len(memo) + len(new) > MEMO_PIECES:
             memo, old = self.memos[kind] = {}, memo
             new = pieces
-        known = new & old.keys()
+        known = {p for p in new if p in old}
         memo.update((p, old[p]) for p in known)
-        self._fill(memo, list(new - known), kind)
+        self._fill(memo, list(new.difference(known)), kind)
         return memo
 
     def _plain(self, texts: list[str]) -> list[bytes]:
