@@ -47,7 +47,11 @@ HEADER_HINTS = {"header", "topbar"}
 KEEPERS = {"html", "body", "article", "main"}
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|/?[a-zA-Z][^>]*(?:>|\Z))""", re.S)
 SIMPLE = re.compile(r"(/?)([a-zA-Z][^\s/>]*)([^>]*)", re.S)
-ATTR = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I | re.S)
+#: What also drops an article element: teasers and comments come as such.
+ARTICLE_HINTS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "related", "reply", "sponsored", "teaser"}
+#: Classes that say what a page has or lacks, not what an element is.
+ABOUT_PAGE = re.compile(r"\b(?:no|has|with|without)[-_]\w+", re.I)
+ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.S)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 PUNCT = re.compile(r"[.,;:!?。、，；：！？…¿¡»«\"“”()]")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}}
@@ -95,12 +99,12 @@ class _Reader:
                 self.parts.append((" ", False))
             return
         kind, name = (1 if tag == "header" else 2 if tag in BOILERPLATE else 0), tag
-        if attrs and tag not in KEEPERS:
+        if attrs and tag not in ("html", "body"):
             found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTR.finditer(attrs)}
-            hints = {w.lower() for k in ("class", "id", "role") for w in CAMEL.split(found.get(k, ""))}
-            if hints & HINTS or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
+            hints = {w.lower() for k in ("class", "id", "role") for w in CAMEL.split(ABOUT_PAGE.sub(" ", found.get(k, "")))}
+            if hints & (ARTICLE_HINTS if tag in KEEPERS else HINTS) or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
                 kind = 2
-            elif hints & HEADER_HINTS:
+            elif hints & HEADER_HINTS and tag not in KEEPERS:
                 kind = max(kind, 1)
             if found.get("class"):
                 name = f"{tag}.{found['class']}"

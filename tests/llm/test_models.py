@@ -212,6 +212,9 @@ def test_pages():
     assert html_text.extract(PAGE.format(body=article)) == want
     plain = "<div id=main><p>First paragraph, long enough to count; it has marks.</p><!-- <p>no</p> --><p>Next one, <a href=x>with a link</a>, also long.</p></div>"
     assert html_text.extract(PAGE.format(body=plain)) == "First paragraph, long enough to count; it has marks.\n\nNext one, with a link, also long."
+    wrapped = "<div class='page no-sidebar'><main class='post has_comments'><h1>Title here</h1><p>First part, long enough.</p><article class='comment'><p>A reader wrote this, at length.</p></article></main></div>"
+    assert html_text.extract(PAGE.format(body=wrapped)) == "Title here\n\nFirst part, long enough."
+    assert html_text.extract("<main><p data-x='hidden' title=\"a hidden b\">Shown, yes.</p><p hidden>Not shown, no.</p></main>") == "Shown, yes."
     for empty in (None, "", "   ", "<p></p>", "<script>x", "<nav>only, this.</nav>"):
         assert html_text.extract(empty) == ""
     assert html_text.extract("just text, no tags") == "just text, no tags"
