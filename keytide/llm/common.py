@@ -55,6 +55,16 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def stash_by(df: DataFrame, key: str, name: str = "t") -> DataFrame:
+    """Like ``stash``, bucketed by ``key`` so that a later grouping by it reads
+    the files where they are.  The table goes to the warehouse, which a cluster
+    shares as well."""
+    spark = df.sparkSession
+    table_name = f"keytide_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def unstash(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "_stash_path", None)

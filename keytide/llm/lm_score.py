@@ -33,7 +33,9 @@ from .bpe import slices
 ORDER = 3
 ALPHA = 0.4
 #: A block is closed after the document that brings it to so many words.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 22
+#: Words of a block that are looked up at once.
+CHUNK_WORDS = 1 << 18
 #: Entries of a partition of the count table, about.
 PART_ENTRIES = 2_000_000
 
@@ -67,6 +69,10 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             nonlocal ids, sizes, held, vocab, count, seq
             words = np.concatenate(held) if held else np.zeros(0, np.uint32)
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in vocab), np.uint64, len(vocab))
+            often = np.argsort(-np.bincount(words, minlength=len(vocab)), kind="stable")  # low numbers for frequent words pack well
+            number = np.empty(len(vocab), np.uint32)
+            number[often] = np.arange(len(vocab), dtype=np.uint32)
+            words, hashes = number[words], hashes[often]
             pack = zstandard.ZstdCompressor(level=3).compress
             planes = np.ascontiguousarray(words.astype("<u4").view(np.uint8).reshape(-1, 4).T)
             out = pa.RecordBatch.from_arrays(
@@ -82,7 +88,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for b in slices(batches):
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = tokens(text)
-                for w in set(ws) - vocab.keys():
+                for w in set(ws).difference(vocab):
                     vocab[w] = len(vocab)
                 ids.append(i)
                 sizes.append(len(ws))
@@ -96,21 +102,23 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(work, BLOCKS)
 
 
-def _grams(sizes: np.ndarray, words: bytes, vocab: bytes, order: int) -> list[np.ndarray]:
-    """Per length n the hash of the n-gram that ends at each word, zero where
-    the document has no n words yet."""
+def _grams(sizes: np.ndarray, words: bytes, vocab: bytes, order: int) -> Iterator[np.ndarray]:
+    """For n = 1, 2, ... the hash of the n-gram that ends at each word, zero
+    where the document has no n words yet."""
     raw = zstandard.ZstdDecompressor().decompress(words) if words else b""
     at = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
     h = np.frombuffer(vocab, np.uint64)[at]
-    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out, now = [], np.zeros(len(h), np.uint64)
+    del raw, at
+    starts = np.cumsum(sizes) - sizes
+    now = np.zeros(len(h), np.uint64)
     for n in range(order):
         before = np.zeros(len(h), np.uint64)
-        before[1:] = now[:-1]
-        now = _mix((before if n else now) * np.uint64(0x9E3779B97F4A7C15) + h + np.uint64(n + 1))
-        now[place < n] = 0
-        out.append(now)
-    return out
+        if n:
+            before[1:] = now[:-1]
+        now = _mix(before * np.uint64(0x9E3779B97F4A7C15) + h + np.uint64(n + 1))
+        for k in range(n):
+            now[starts[sizes > k] + k] = 0
+        yield now
 
 
 def _pack_run(run: np.ndarray) -> bytes:
@@ -129,23 +137,27 @@ def _read_run(raw: bytes) -> np.ndarray:
 
 
 def _requests(packed: DataFrame, order: int, bits: int) -> DataFrame:
+    """(part, n, block, run, counts): each block's distinct n-grams by part."""
+
     def work(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            for row in b.to_pylist():
-                grams = np.concatenate(_grams(np.array(row["sizes"], np.int64), row["words"], row["vocab"], order))
-                keys, counts = np.unique(grams[grams != 0], return_counts=True)
-                cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, len(keys)])
-                pack = zstandard.ZstdCompressor(level=1).compress
-                parts = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), row["block"], np.int64)),
-                        pa.array([_pack_run(keys[cut[p] : cut[p + 1]]) for p in parts], pa.binary()), pa.array([pack(counts[cut[p] : cut[p + 1]].astype("<u4").tobytes()) for p in parts], pa.binary()),
-                    ],
-                    ["part", "block", "run", "counts"],
-                )
-
-    return packed.select("block", "sizes", "words", "vocab").mapInArrow(work, "part int, block bigint, run binary, counts binary")
+            for i in range(b.num_rows):
+                block, sizes, words, vocab = (c[i].as_py() for c in b.columns)
+                for n, grams in enumerate(_grams(np.array(sizes, np.int64), words, vocab, order)):
+                    keys, counts = np.unique(grams[grams != 0], return_counts=True)
+                    part_of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                    cut = np.append(np.flatnonzero(np.append(True, np.diff(part_of) != 0)) if len(keys) else [], len(keys)).astype(np.int64)
+                    parts, spans = part_of[cut[:-1]], list(zip(cut, cut[1:]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), n, np.int32)), pa.array(np.full(len(parts), block, np.int64)),
+                            pa.array([_pack_run(keys[x:y]) for x, y in spans], pa.binary()), pa.array([pack(counts[x:y].astype("<u4").tobytes()) for x, y in spans], pa.binary()),
+                        ],
+                        ["part", "n", "block", "run", "counts"],
+                    )
+
+    return packed.select("block", "sizes", "words", "vocab").mapInArrow(work, "part int, n int, block bigint, run binary, counts binary")
 
 
 def _totals(group: pa.Table) -> pa.Table:
@@ -157,33 +169,57 @@ def _totals(group: pa.Table) -> pa.Table:
     total = np.bincount(at, counts).astype("<u8")[at]
     ends = np.cumsum(list(map(len, runs)))
     told = [pack(np.ascontiguousarray(total[a:b].view(np.uint8).reshape(-1, 8).T).tobytes()) for a, b in zip([0, *ends], ends)]
-    return pa.table({"part": group["part"], "block": group["block"], "totals": pa.array(told, pa.binary())})
+    return pa.table({"part": group["part"], "n": group["n"], "block": group["block"], "totals": pa.array(told, pa.binary())})
+
+
+def _read_totals(told: list[tuple[int, bytes]]) -> np.ndarray:
+    unpack = zstandard.ZstdDecompressor().decompress
+    planes = (np.frombuffer(unpack(t), np.uint8).reshape(8, -1) for _, t in sorted(told))
+    return np.concatenate([np.zeros(0), *(np.ascontiguousarray(p.T).reshape(-1).view("<u8").astype(float) for p in planes)])
+
+
+def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents of about CHUNK_WORDS words."""
+    first, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        held += n
+        if held >= CHUNK_WORDS:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def _scorer(order: int, alpha: float, corpus: int):
     def score(block: pa.Table, told: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        sizes = np.array(row["sizes"], np.int64)
-        unpack = zstandard.ZstdDecompressor().decompress
-        parts = sorted(zip(told["part"].to_pylist(), told["totals"].to_pylist()))
-        total = np.concatenate([np.zeros(0), *(np.ascontiguousarray(np.frombuffer(unpack(t), np.uint8).reshape(8, -1).T).reshape(-1).view("<u8").astype(float) for _, t in parts)])
-        grams = _grams(sizes, row["words"], row["vocab"], order)
-        keys = np.unique(np.concatenate(grams))
-        keys = keys[keys != 0]
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        rest: list[np.ndarray] = []  # per n: count of the n-gram outside this document
-        for g in grams:
-            at = np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))
-            pair = doc * (len(keys) + 1) + np.where(g != 0, at, len(keys))
-            _, inverse, own = np.unique(pair, return_inverse=True, return_counts=True)
-            rest.append(np.where(g != 0, (total[at] if len(total) else 0.0) - own[inverse], -1.0))
-        others = np.maximum(corpus - sizes, 1)[doc] if len(sizes) else np.zeros(0)
-        log = np.log(np.maximum(rest[0], 1) / others)
-        for n in range(1, order):
-            history = np.append(0.0, rest[n - 1][:-1])
-            seen = rest[n] > 0
-            log = np.where(rest[n] < 0, log, np.where(seen, np.log(np.where(seen, rest[n], 1) / np.where(seen, history, 1)), np.log(alpha) + log))
-        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": pa.array(sizes), "log_score": pa.array(np.bincount(doc, log, len(sizes)))})
+        doc_ids, sizes, words, vocab = (block[c][0].as_py() for c in ("doc_ids", "sizes", "words", "vocab"))
+        sizes = np.array(sizes, np.int64)
+        ends = np.append(0, np.cumsum(sizes))
+        answers: dict[int, list[tuple[int, bytes]]] = {}
+        for n, part, totals in zip(told["n"].to_pylist(), told["part"].to_pylist(), told["totals"]):
+            answers.setdefault(n, []).append((part, totals.as_py()))
+        log, before = np.zeros(ends[-1]), np.zeros(ends[-1])
+        for n, grams in enumerate(_grams(sizes, words, vocab, order)):
+            keys = np.unique(grams[grams != 0])
+            total = np.append(_read_totals(answers.pop(n, [])), 0.0)
+            rest = np.empty(ends[-1])  # counts outside the word's own document
+            for a, b in _chunks(sizes):
+                x, y = ends[a], ends[b]
+                g = grams[x:y]
+                at = np.where(g != 0, np.searchsorted(keys, g), len(keys))
+                doc = np.repeat(np.arange(b - a), sizes[a:b])
+                _, inverse, own = np.unique(doc * (len(keys) + 1) + at, return_inverse=True, return_counts=True)
+                rest[x:y] = np.where(g != 0, total[at] - own[inverse], -1.0)
+                if n == 0:
+                    log[x:y] = np.log(np.maximum(rest[x:y], 1) / np.maximum(corpus - sizes[a:b], 1)[doc])
+                    continue
+                history = np.append(0.0, before[x : y - 1]) if y > x else before[x:y]
+                seen = rest[x:y] > 0
+                higher = np.where(seen, np.log(np.where(seen, rest[x:y], 1) / np.where(seen, history, 1)), np.log(alpha) + log[x:y])
+                log[x:y] = np.where(rest[x:y] < 0, log[x:y], higher)
+            before = rest
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), log, len(sizes))
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array(sizes), "log_score": pa.array(sums)})
 
     return score
 
@@ -195,10 +231,10 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str
     documents of their own, so each is in the other's model.  Columns of other
     names are ignored; an empty table gives an empty result.
     """
-    packed = common.stash(blocks(docs, id_col, text_col), "blocks")
+    packed = common.stash_by(blocks(docs, id_col, text_col), "block", "blocks")
     words, kinds = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.octet_length("vocab") / 8), F.lit(0.0))).first()
     bits = max(0, int(np.ceil(np.log2(max(1.0, (words * (order - 1) + kinds) / PART_ENTRIES)))))
-    told = _requests(packed, order, bits).groupBy("part").applyInArrow(_totals, "part int, block bigint, totals binary")
+    told = _requests(packed, order, bits).groupBy("part").applyInArrow(_totals, "part int, n int, block bigint, totals binary")
     sides = packed.select("block", "doc_ids", "sizes", "words", "vocab").groupBy("block").cogroup(told.groupBy("block"))
     return sides.applyInArrow(_scorer(order, alpha, int(words)), "doc_id bigint, n_words bigint, log_score double")
 
