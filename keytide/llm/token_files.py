@@ -58,13 +58,13 @@ def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarr
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z, z, b"", z, z
-    full = np.full(n * BLOCK, ids[-1], np.int64)
+    full = np.full(n * BLOCK, ids[-1], np.uint32)
     full[: len(ids)] = ids
     full = full.reshape(n, BLOCK)
     low = full.min(axis=1)
     rest = full - low[:, None]
     width = _bits(np.partition(rest, BLOCK * percentile // 100 - 1, axis=1)[:, BLOCK * percentile // 100 - 1])
-    high = rest >> width[:, None]
+    high = np.where(width[:, None] < 32, rest >> np.minimum(width, 31)[:, None].astype(np.uint32), 0)
     block, place = np.nonzero(high)
     highs = high[block, place]
     size = width * (BLOCK // 8)
@@ -74,7 +74,7 @@ def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarr
         if w:
             rows = np.flatnonzero(width == w)
             kind = _kind(w)
-            bits = np.unpackbits(rest[rows].astype(kind).view(np.uint8).reshape(len(rows), BLOCK, -1), axis=2, bitorder="little")
+            bits = np.unpackbits(rest[rows].astype(kind, copy=False).view(np.uint8).reshape(len(rows), BLOCK, -1), axis=2, bitorder="little")
             packed = np.packbits(bits[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
             payload[start[rows][:, None] + np.arange(w * (BLOCK // 8))] = packed
     first = np.searchsorted(block, np.arange(n))
@@ -118,9 +118,9 @@ class Segment:
         """Ids a to b of the segment."""
         b = self.n_ids if b is None else b
         if a >= b:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.uint32)
         lo, hi = a // BLOCK, -(-b // BLOCK)
-        out = np.zeros((hi - lo, BLOCK), np.int64)
+        out = np.zeros((hi - lo, BLOCK), np.uint32)
         width = self.width[lo:hi]
         for w in np.unique(width):
             if w:
@@ -133,8 +133,8 @@ class Segment:
         stop = self.first[hi] if hi < len(self.first) else len(self.place)
         sel = np.arange(self.first[lo], stop)
         block = np.searchsorted(self.first, sel, "right") - 1 - lo
-        out[block, self.place[sel]] |= self.highs[sel] << width[block]
-        out += self.low[lo:hi, None]
+        out[block, self.place[sel]] |= (self.highs[sel] << width[block]).astype(np.uint32)
+        out += self.low[lo:hi, None].astype(np.uint32)
         return out.reshape(-1)[a - lo * BLOCK : b - lo * BLOCK]
 
     def document(self, k: int) -> np.ndarray:
@@ -261,7 +261,7 @@ def segments(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: st
         def close():
             nonlocal names, held, count, seg, before
             lengths = np.array([len(x) // size for x in held], np.int64)
-            data = encode_segment(np.array(names, np.int64), lengths, np.frombuffer(b"".join(held), kind).astype(np.int64))
+            data = encode_segment(np.array(names, np.int64), lengths, np.frombuffer(b"".join(held), kind))
             out = pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "before": before, "n_ids": count, "n_docs": len(names), "data": data}], SEGMENT_ARROW)
             names, held, count, seg, before = [], [], 0, seg + 1, before + count
             return out
@@ -310,7 +310,7 @@ def documents(files: DataFrame) -> DataFrame:
                 s = Segment(raw.as_buffer().to_pybytes())
                 ids = s.read()
                 begins = s.ends - s.lengths
-                u4 = ids.astype("<u4").tobytes()
+                u4 = ids.astype("<u4", copy=False).tobytes()
                 crc = [zlib.crc32(u4[4 * x : 4 * y]) for x, y in zip(begins.tolist(), s.ends.tolist())]
                 null = s.doc_ids == np.iinfo(np.int64).min
                 yield pa.RecordBatch.from_arrays(
