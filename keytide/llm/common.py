@@ -105,6 +105,20 @@ def anti_join_ids(rows: DataFrame, gone: DataFrame, key: str, count: int) -> Dat
     return rows.join(F.broadcast(gone) if count <= BROADCAST_ROWS else gone.hint("shuffle_hash"), key, "left_anti")
 
 
+#: Rows of whole texts that Python gets at once, at most.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on the session hands Python no more than TEXT_ROWS rows
+    at once, so that long texts don't fill a worker's memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def clean_names(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, so that other columns of the input can't clash."""
+    text_batches(df)
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])

@@ -258,7 +258,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Dat
         for b in slices(batches):
             yield b.filter(pa.array([not x for x in found.find(b.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return common.text_batches(docs).mapInArrow(work, docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             toxic = 1 - model.at_most(model.score(b.column(at).to_pylist()))[:, 0]
             yield b.filter(pa.array(toxic < REJECT_FROM))
 
-    return docs.mapInArrow(work, docs.schema)
+    return common.text_batches(docs).mapInArrow(work, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
