@@ -4,8 +4,9 @@ A page is read into blocks of text, each with the path of block elements that
 leads to it.  Per path, text length outside links and punctuation are summed
 and divided by the number of blocks; the two ratios are fused, smoothed over
 neighbouring blocks in page order, and averaged back onto the path.  Paths
-over a share of the page's length-weighted mean hold content.  The text of the
-smallest element that has nearly all of it is the article; in it, blocks are
+over a share of the page's length-weighted mean hold content.  The outermost
+article or main element that has all of it is the article, else the smallest
+element that has; headings directly before it belong to it.  In it, blocks are
 dropped only for what they are: menus, headers, footers, sidebars, notices,
 adverts, forms, comments of readers, and lists of links off the content paths.
 """
@@ -26,8 +27,6 @@ from .bpe import slices
 #: Smoothing weights over the blocks around one, and the share of the mean.
 KERNEL = (0.25, 0.5, 1.0, 0.5, 0.25)
 THRESHOLD = 0.4
-#: Share of the content's text that the article's element must hold.
-COVER = 0.8
 LINKS = 0.8
 
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "noframes", "canvas", "audio", "video"}
@@ -36,6 +35,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "br", "wbr",
 }
+#: Parts of an article, never all of it: what holds them is.
+PARTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "pre", "blockquote", "figure", "figcaption", "section", "details", "summary"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Words of a class, id or role that tell what an element is for.
 HINTS = {
@@ -219,20 +220,19 @@ def extract(page: str | None) -> str:
     total = sum(len(b.text) for b in found)
     limit = THRESHOLD * sum(r * len(b.text) for r, b in zip(ratio, found)) / total
     chosen = [r >= limit for r in ratio]
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    weight = 0
-    for b, ok in zip(found, chosen):
-        if ok:
-            weight += len(b.text)
-            for d, n in enumerate(b.path):
-                held[n] = held.get(n, 0) + len(b.text)
-                depth[n] = d
+    # what all chosen blocks have in common, or else the article around it
+    paths = [b.path for b, ok in zip(found, chosen) if ok]
+    shared = [n for n in (min(paths) if paths else ()) if all(n in p for p in paths)]
     marked = {n: name.split(".")[0] for b in found for n, name in zip(b.path, b.names)}
-    # a paragraph by itself isn't the article: its parent is
-    roots = [n for n, v in held.items() if v >= COVER * weight and marked[n] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "pre", "blockquote", "dd", "dt", "figcaption")]
-    root = max(roots, key=lambda n: depth[n], default=None)
-    out = [b.text for b, ok in zip(found, chosen) if (root is None or root in b.path) and (ok or b.heading or b.link < LINKS * len("".join(b.text.split())))]
+    root = next((n for n in shared if marked[n] in ("article", "main")), None)
+    if root is None:
+        root = next((n for n in reversed(shared) if marked[n] not in PARTS), None)
+    inside = [root is None or root in b.path for b in found]
+    for i in range(inside.index(True) - 1, -1, -1):  # headings directly before it
+        if not found[i].heading:
+            break
+        inside[i] = True
+    out = [b.text for b, ok, here in zip(found, chosen, inside) if here and (ok or b.heading or b.link < LINKS * len("".join(b.text.split())))]
     return "\n\n".join(out)
 
 

@@ -224,6 +224,26 @@ def test_pages():
     assert html_text.extract(PAGE.format(body=f"<article><p>{long}</p></article>")) == long.strip()
 
 
+LONG = "A sentence of the article, with its marks; and some more words to read."
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        (f"<h1>Title</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div>", ["Title", LONG, LONG]),
+        (f"<section><p>{LONG * 9}</p></section><section><p>{LONG}</p></section>", [LONG * 9, LONG]),
+        (f"<div><div><p>{LONG * 9}</p></div></div><div><p>{LONG}</p></div>", [LONG * 9, LONG]),
+        (f"<p>Short intro.</p><section><p>{LONG}</p><p>{LONG}</p></section>", ["Short intro.", LONG, LONG]),
+        (f"<h2>List</h2><p>Intro.</p><ul>{f'<li>{LONG}</li>' * 9}</ul>", ["List", "Intro.", *[LONG] * 9]),
+        (f"<p>{LONG}</p><table><tbody>{f'<tr><td>{LONG}</td></tr>' * 9}</tbody></table><p>End.</p>", [LONG, *[LONG] * 9, "End."]),
+        (f"<p>Intro.</p><dl>{f'<dt>Term</dt><dd>{LONG}</dd>' * 9}</dl>", ["Intro.", *["Term", LONG] * 9]),
+    ],
+)
+def test_the_root_cuts_nothing_off(tag, inner, want):
+    assert html_text.extract(PAGE.format(body=f"<{tag}>{inner}</{tag}>")).split("\n\n") == want
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>a, b.</p>", "x"), (1, "u", "<p>a, b.</p>", "x"), (None, None, None, None)]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string"))
