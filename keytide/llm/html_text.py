@@ -29,11 +29,18 @@ KERNEL = (0.25, 0.5, 1.0, 0.5, 0.25)
 THRESHOLD = 0.4
 LINKS = 0.8
 
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "noframes", "canvas", "audio", "video"}
+#: What HTML reads as raw text: without an end tag the rest of the page is in it.
+RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp"}
+#: Skipped up to the end tag; without one only the tag is.
+SKIPPED = {"noscript", "template", "svg", "object", "canvas", "audio", "video", "annotation", "annotation-xml"}
+END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in RAW | SKIPPED}
+#: Tokens of formulas, set apart by spaces.
+FORMULA = {"mi", "mn", "mo", "ms", "mtext"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "select", "fieldset", "head", "label", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "br", "wbr",
+    "math", "maction", "menclose", "merror", "mfenced", "mfrac", "mmultiscripts", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtr", "mlabeledtr", "munder", "munderover", "none", "semantics", *FORMULA,
 }
 #: Parts of an article, never all of it: what holds them is.
 PARTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "pre", "blockquote", "figure", "figcaption", "section", "details", "summary"}
@@ -139,6 +146,8 @@ class _Reader:
     def close(self, tag: str) -> None:
         if tag == "a":
             self.links = max(0, self.links - 1)
+        elif tag in FORMULA:
+            self.parts.append((" ", False))
         if tag not in INLINE:
             self.flush()
             self.links = 0 if tag in SCOPE else self.links
@@ -159,7 +168,7 @@ class _Reader:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in page order."""
     r, at = _Reader(), 0
-    low = None
+    endless: set[str] = set()  # no end tag of these from here on
     while m := TAG.search(page, at):
         if m.start() > at:
             r.text(page[at : m.start()])
@@ -176,10 +185,15 @@ def blocks(page: str) -> list[Block]:
         tag = tag.lower()
         if slash:
             r.close(tag)
-        elif tag in RAW and not attrs.rstrip().endswith("/"):
-            low = page.lower() if low is None else low
-            end = low.find("</" + tag, at)
-            at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
+        elif tag in END:
+            if tag in endless or attrs.rstrip().endswith("/"):
+                continue
+            if end := END[tag].search(page, at):
+                at = page.find(">", end.end()) + 1 or len(page)
+            elif tag in RAW:
+                at = len(page)
+            else:
+                endless.add(tag)
         else:
             r.open(tag, attrs)
     r.text(page[at:])

@@ -244,6 +244,23 @@ def test_the_root_cuts_nothing_off(tag, inner, want):
     assert html_text.extract(PAGE.format(body=f"<{tag}>{inner}</{tag}>")).split("\n\n") == want
 
 
+@pytest.mark.parametrize("tag", ["script", "STYLE", "svg", "iframe"])
+def test_skipped_elements_end_where_they_end(tag):
+    """Lower-casing a dotted capital I makes two characters of it."""
+    page = f"<article><p>{'İ' * 40} first, here.</p><{tag}>var x;</{tag.upper()} ><p>Second, here; <b>to stay</b>.</p></article>"
+    assert html_text.extract(page) == f"{'İ' * 40} first, here.\n\nSecond, here; to stay."
+
+
+@pytest.mark.parametrize("tag", ["svg", "object", "canvas", "video", "audio", "math", "template", "noscript"])
+def test_elements_without_end_tag_leave_the_page(tag):
+    assert html_text.extract(f"<article><p>First, here.</p><{tag} id=x><p>Second, here.</p><{tag}><p>Third.</p></article>") == "First, here.\n\nSecond, here.\n\nThird."
+
+
+def test_formulas_stay():
+    math = "<math><semantics><mrow><mi>a</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation encoding=tex>a=\\frac12</annotation></semantics></math>"
+    assert html_text.extract(f"<p>Let {math} hold, then.</p>") == "Let a = 1 2 hold, then."
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>a, b.</p>", "x"), (1, "u", "<p>a, b.</p>", "x"), (None, None, None, None)]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string"))
