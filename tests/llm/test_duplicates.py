@@ -178,3 +178,57 @@ def test_repeated_paragraph_inside_one_document_counts_for_nothing(spark):
     line = " ".join(f"r{k}" for k in range(60))
     got = substring_dedup.classify(documents(spark, [(1, f"{line}\n{line}"), (2, " ".join(WORDS * 3))])).collect()
     assert not any(r.repeated for r in got)
+
+
+def fresh_words(seed):
+    rng = random.Random(seed)
+    return lambda n: [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+
+
+def jaccard(a, b):
+    a, b = (set(substring_dedup.shingle_hashes(x).tolist()) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def removed_words(r):
+    return {p + k for p in r.removed_at for k in range(substring_dedup.WIDTH)}
+
+
+def test_near_passages_are_found_wherever_they_differ(spark):
+    new, rng = fresh_words(21), random.Random(21)
+    pairs = []
+    for n, changes, cuts in ((51, 1, range(51)), (55, 1, range(0, 55, 3)), (60, 1, range(0, 60, 3)), (94, 2, range(40))):
+        for at in cuts:
+            a = new(n)
+            b = list(a)
+            for p in [at] if changes == 1 else rng.sample(range(n), changes):
+                b[p] = new(1)[0]
+            pairs.append((a, b))
+    for at in range(0, 51, 2):  # words put in and taken out
+        a, b = new(51), new(51)
+        pairs += [(a, a[:at] + new(1) + a[at:]), (b, b[:at] + b[at + 1 :])]
+    pairs = [(a, b) for a, b in pairs if jaccard(a, b) >= substring_dedup.SIMILARITY]
+    rows, starts = [], {}
+    for k, (a, b) in enumerate(pairs):
+        for i, part in ((2 * k, a), (2 * k + 1, b)):
+            ws = new(rng.randrange(0, 120))
+            starts[i] = len(ws)
+            rows.append((i, " ".join(ws + part + new(rng.randrange(0, 120)))))
+    got = {r.doc_id: r for r in substring_dedup.classify(documents(spark, rows)).collect()}
+    assert len(pairs) > 150
+    for k, (a, b) in enumerate(pairs):
+        first, second = got[2 * k], got[2 * k + 1]
+        assert first.repeated and second.repeated and second.component_id == 2 * k and second.keep_ids == [2 * k], k
+        part = range(starts[2 * k + 1], starts[2 * k + 1] + len(b))
+        assert not first.removed_at and removed_words(second) <= set(part)
+    middle = removed_words(got[51])  # the changed word between two equal runs goes with them
+    assert middle == set(range(starts[51], starts[51] + 51))
+
+
+def test_cover():
+    rng = random.Random(8)
+    for _ in range(200):
+        pos = sorted(rng.sample(range(300), rng.randrange(1, 60)))
+        kept = substring_dedup.cover(np.array(pos))
+        full = lambda at: {p + k for p in at for k in range(substring_dedup.WIDTH)}
+        assert full(kept) == full(pos) and set(kept) <= set(pos)
