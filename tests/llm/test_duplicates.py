@@ -232,3 +232,19 @@ def test_cover():
         kept = substring_dedup.cover(np.array(pos))
         full = lambda at: {p + k for p in at for k in range(substring_dedup.WIDTH)}
         assert full(kept) == full(pos) and set(kept) <= set(pos)
+
+
+def test_short_texts_and_passages_are_found(spark):
+    new = fresh_words(22)
+    rows, want = [], {}
+    for n in range(24, 52):
+        text, part = new(n), new(n)
+        for k in range(2):
+            rows += [(10 * n + k, " ".join(text)), (10 * n + 5 + k, " ".join(new(7 * k + 3) + part + new(n % 9)))]
+            want |= {10 * n + k: (10 * n, range(n)), 10 * n + 5 + k: (10 * n + 5, range(7 * k + 3, 7 * k + 3 + n))}
+    rows += [(1, "a notice of few words"), (2, "a notice of few words"), (3, " ".join(new(40)))]
+    got = {r.doc_id: r for r in substring_dedup.classify(documents(spark, rows)).collect()}
+    for i, (keep, part) in want.items():
+        assert got[i].repeated and got[i].component_id == keep
+        assert removed_words(got[i]) == (set() if i == keep else set(part))
+    assert not any(got[i].repeated for i in (1, 2, 3))
