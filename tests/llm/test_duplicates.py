@@ -248,3 +248,18 @@ def test_short_texts_and_passages_are_found(spark):
         assert got[i].repeated and got[i].component_id == keep
         assert removed_words(got[i]) == (set() if i == keep else set(part))
     assert not any(got[i].repeated for i in (1, 2, 3))
+
+
+def test_every_further_occurrence_is_removed(spark):
+    new = fresh_words(23)
+    part = new(60)
+    texts = [new(9) + part + new(5), new(4) + part + new(8) + part + new(30) + part]
+    again = [part + new(40) + part, new(3) + part]  # twice where it stays
+    same = [["x"] * 100, ["x"] * 70]
+    renamed = [[w + "b" for w in t] for t in again]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *renamed, *same])]
+    got = {r.doc_id: r for r in substring_dedup.classify(documents(spark, rows)).collect()}
+    at = lambda *starts: {s + k for s in starts for k in range(60)}
+    assert removed_words(got[0]) == set() and removed_words(got[1]) == at(4, 72, 162)
+    assert removed_words(got[2]) == at(100) and removed_words(got[3]) == at(3)
+    assert removed_words(got[4]) == set(range(24, 100)) and removed_words(got[5]) == set(range(70))
