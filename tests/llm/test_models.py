@@ -140,6 +140,18 @@ def test_items_are_found_wherever_they_stand(spark):
     assert decontaminate.contaminated(documents(spark, []), bdf).count() == 0
 
 
+def test_near_and_cut_copies_of_items_are_found():
+    rng = random.Random(6)
+    new = lambda n: [f"q{rng.getrandbits(40):x}" for _ in range(n)]
+    bench = [(i, f"{' '.join(new(60))}. {' '.join(new(7 if i % 2 else 5))}.") for i in range(10)]
+    s = decontaminate.Searcher(bench)
+    for i, t in bench:
+        ws = t.split()
+        copies = [[*ws[:k], "changed", *ws[k + 1 :]] for k in range(len(ws))] + [ws[:60], ws[7:]]
+        assert [[x["item_id"] for x in f] for f in s.find([" ".join(new(20) + c + new(20)) for c in copies])] == [[i]] * len(copies)
+        assert s.find([" ".join(ws[:45] + new(40))]) == [[]]
+
+
 def test_search_finds_every_score_over_the_threshold():
     rng = random.Random(5)
     bench = items(rng, 30)
