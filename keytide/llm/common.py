@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,20 +109,29 @@ def anti_join_ids(rows: DataFrame, gone: DataFrame, key: str, count: int) -> Dat
     return rows.join(F.broadcast(gone) if count <= BROADCAST_ROWS else gone.hint("shuffle_hash"), key, "left_anti")
 
 
-#: Rows of whole texts that Python gets at once, at most.
-TEXT_ROWS = 1000
+#: Rows and bytes of whole texts that an operator works on at once, about.
+TEXT_ROWS = 2000
+TEXT_BYTES = 4 << 20
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``; from now on the session hands Python no more than TEXT_ROWS rows
-    at once, so that long texts don't fill a worker's memory."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
-        conf.set(name, str(TEXT_ROWS))
-    return df
+def text_slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most TEXT_ROWS rows, each closed by the row
+    that brings the texts in column ``at`` to TEXT_BYTES."""
+    for batch in batches:
+        texts = batch.column(at)
+        if isinstance(texts, pa.ListArray):
+            size = pc.multiply(pc.list_value_length(texts), texts.type.value_type.bit_width // 8)
+        else:
+            size = pc.binary_length(texts)
+        ends = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            last = min(int(np.searchsorted(ends, done + TEXT_BYTES)), first + TEXT_ROWS - 1, batch.num_rows - 1)
+            yield batch.slice(first, last + 1 - first)
+            first = last + 1
 
 
 def clean_names(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, so that other columns of the input can't clash."""
-    text_batches(df)
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])

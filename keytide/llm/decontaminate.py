@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import slices
+from .common import text_slices
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -228,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = Searcher(load_items(benchmark), threshold, overlap)
 
     def work(batches):
-        for b in slices(batches):
+        for b in text_slices(batches, 1):
             hits = found.find(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())])))], ["doc_id", "items"])
 
@@ -243,10 +243,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Dat
     found, at = Searcher(load_items(benchmark)), docs.columns.index(text_col)
 
     def work(batches):
-        for b in slices(batches):
+        for b in text_slices(batches, at):
             yield b.filter(pa.array([not x for x in found.find(b.column(at).to_pylist())], pa.bool_()))
 
-    return common.text_batches(docs).mapInArrow(work, docs.schema)
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .bpe import slices
+from .common import text_slices
 
 #: Smoothing weights over the blocks around one, and the share of the mean.
 KERNEL = (0.25, 0.5, 1.0, 0.5, 0.25)
@@ -258,7 +258,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
 
     def work(batches):
-        for b in slices(batches):
+        for b in text_slices(batches, 2):
             text = [extract(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

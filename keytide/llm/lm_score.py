@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import slices
+from .common import text_slices
 
 ORDER = 3
 ALPHA = 0.4
@@ -85,7 +85,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             ids, sizes, held, vocab, count, seq = [], [], [], {}, 0, seq + 1
             return out
 
-        for b in slices(batches):
+        for b in text_slices(batches, 1):
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = tokens(text)
                 for w in set(ws).difference(vocab):

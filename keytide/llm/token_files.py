@@ -20,16 +20,16 @@ from __future__ import annotations
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bpe import slices
+from .common import text_slices
 
 BLOCK = 128
 PERCENTILE = 90
@@ -141,18 +141,70 @@ class Segment:
         return self.read(int(self.ends[k] - self.lengths[k]), int(self.ends[k]))
 
 
+#: What a byte of a text is to the pieces: white space, a letter (ASCII, or half
+#: of a Latin-1 letter), a digit, a mark.  All others make their word odd, and so
+#: do the signs that special tokens and elided endings have.
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+
+
+def _byte_kinds() -> np.ndarray:
+    kind = np.full(256, ODD, np.uint8)
+    kind[33:127] = MARK
+    kind[list(b" \t\n\r")] = SPACE
+    kind[list(range(65, 91)) + list(range(97, 123))] = LETTER
+    kind[48:58] = DIGIT
+    kind[list(b"<>'")] = ODD
+    return kind
+
+
+KINDS = _byte_kinds()
+
+
+def cut_pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bytes of the pieces, the bytes with Latin-1 letters in lower case).
+
+    A piece is a run of letters, a run of marks, one digit, or a whole word that
+    has an odd byte; white space belongs to the piece before it, or is one at
+    the start.  So the pieces cover all bytes.
+    """
+    kind = KINDS[data]
+    # a Latin-1 letter is 0xC3 and one more; x and : of arithmetic aren't letters
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    tail = data[lead + 1]
+    lead = lead[(tail != 0x97) & (tail != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    blank = kind == SPACE
+    after = np.append(True, blank[:-1])  # a byte after white space, or the first
+    words = np.flatnonzero(after & ~blank)
+    start = np.append(True, kind[1:] != kind[:-1]) | (kind == DIGIT)
+    start &= ~blank
+    upper = ((data >= 65) & (data <= 90)).astype(np.uint8)
+    upper[lead + 1] = (data[lead + 1] >= 0x80) & (data[lead + 1] <= 0x9E)
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        hit = np.unique(np.searchsorted(words, odd, "right") - 1)
+        ends = np.append(words, len(data))[hit + 1]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[words[hit] + 1] += 1
+        np.subtract.at(inside, ends, 1)
+        inner = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        start &= ~inner
+        upper[inner] = 0
+        upper[words[hit]] = 0
+    start[0] = True
+    return np.flatnonzero(start), data + (upper << 5)
+
+
 class PieceEncoder:
-    """Ids of a ``tokenizers`` file whose tokens never span white space.
+    """Ids of a ``tokenizers`` file whose tokens never span white space, nor
+    letters, digits and marks.
 
-    Such a text's ids are those of its pieces between white space, so each
-    distinct piece is encoded once by the library and remembered.  Python and
-    the library differ on a few control characters as white space; texts with
-    those are encoded as a whole.
+    A batch of texts is cut into pieces as one array of bytes; each distinct
+    piece of it is looked up in a bounded memo, new ones are encoded by the
+    library, and the ids are put together by Arrow.
     """
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -161,66 +213,76 @@ class PieceEncoder:
         vocab = self.lib.get_vocab()
         self.is_end = np.zeros(1 + max(vocab.values()), bool)
         self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        #: Marks, letters, marks: as many words for the library as groups match.
-        marks, letters = r"([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]+)?", "([A-Za-zÀ-ÖØ-öø-ÿ]+)?"
-        self.plain = re.compile(marks + letters + marks)
-        self.odd = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f᠎​  ⁠﻿]")
         self.packed = np.dtype("<u2" if len(self.is_end) <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {"": b""}  # marks and lower-case words
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # the memo before this one
+        self.memo: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}  # the memo before this one
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.packed).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> bool:
-        """Ids of words that are one word for the library too.  Many go in one
-        call, joined by spaces, and are told apart by the tokens that end a
-        word; False if the vocabulary doesn't mark these."""
-        for k in range(0, len(words), 256):
-            some = words[k : k + 256]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.packed)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(some):
-                return False
-            raw, cuts = ids.tobytes(), (self.packed.itemsize * ends).tolist()
-            self.words.update((w, raw[a:b]) for w, a, b in zip(some, [0, *cuts], cuts))
-        return True
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Plain pieces are put together from their words in lower case; only
-        words not met before and all other pieces go to the library."""
-        parts, other = {}, []
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Plain pieces go to the library many in one call, joined by spaces,
+        and are told apart by the tokens that end a piece; odd ones, and all if
+        the vocabulary doesn't mark these, go each by itself."""
+        plain, odd = [], []
         for p in pieces:
-            m = self.plain.fullmatch(p)
-            if m:
-                a, w, b = m.groups("")
-                parts[p] = a, w.lower(), b
+            (odd if p.translate(None, ODD_BYTES) != p else plain).append(p)
+        for k in range(0, len(plain), 512):
+            some = plain[k : k + 512]
+            ids = np.array(self.lib.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.packed)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(some):
+                raw, cuts = ids.tobytes(), (self.packed.itemsize * ends).tolist()
+                self.memo.update((p, raw[a:b]) for p, a, b in zip(some, [0, *cuts], cuts))
             else:
-                other.append(p)
-        new = set(chain.from_iterable(parts.values())).difference(self.words)
-        if len(self.words) + len(new) > MEMO_PIECES:
-            self.words = {"": b""}
-            new = set(chain.from_iterable(parts.values())) - {""}
-        if self._learn_words(list(new)):
-            get = self.words.__getitem__
-            self.memo.update((p, get(a) + get(w) + get(b)) for p, (a, w, b) in parts.items())
-        else:
-            other += parts
-        self.memo.update(zip(other, self._ids(other)))
+                odd += some
+        self.memo.update(zip(odd, self._ids([p.decode() for p in odd])))
+
+    def _recall(self, pieces: list[bytes]) -> list[bytes]:
+        got = list(map(self.memo.get, pieces))
+        if None not in got:
+            return got
+        new = {p for p, ids in zip(pieces, got) if ids is None}
+        if len(self.memo) + len(new) > MEMO_PIECES:
+            self.old, self.memo = self.memo, {b"": b""}
+            new = {*pieces, b""}
+        old = self.old
+        self.memo.update((p, old[p]) for p in new if p in old)
+        self._learn([p for p in new if p not in old])
+        return list(map(self.memo.__getitem__, pieces))
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has); a null text is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        if not size.sum():
+            return np.zeros(0, self.packed), np.zeros(len(texts), np.int64)
+        first = np.cumsum(size + 1) - size - 1
+        # a line end after each text, so that no piece is of two
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), pa.scalar("\n", pa.large_string()))[0].as_buffer()
+        at, data = cut_pieces(np.frombuffer(joined, np.uint8))
+        offsets = np.append(at, len(data)).astype(np.int64)
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        begin = np.frombuffer(runs.dictionary.buffers()[1], np.int64, len(runs.dictionary) + 1)
+        raw = runs.dictionary.buffers()[2].to_pybytes()
+        blank = np.add.reduceat(KINDS[np.frombuffer(raw, np.uint8)] == SPACE, begin[:-1], dtype=np.int64)
+        found = self._recall([raw[a:b] for a, b in zip(begin.tolist(), (begin[1:] - blank).tolist())])
+        ids = pa.array(found, pa.large_binary()).take(runs.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1) // self.packed.itemsize
+        # a text's pieces start with the first one at or after its first byte: before it is its line end
+        from_ = ends[np.searchsorted(at, first)]
+        flat = np.frombuffer(ids.buffers()[2], self.packed, int(ends[-1])) if ends[-1] else np.zeros(0, self.packed)
+        return flat, np.diff(np.append(from_, ends[-1]))
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
-        cuts = [None if self.odd.search(t) else t.split() for t in texts]
-        pieces = set(chain.from_iterable(c for c in cuts if c))
-        new = pieces.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.old, self.memo = self.memo, {}
-            new = pieces
-        known = {p for p in new if p in self.old}
-        self.memo.update((p, self.old[p]) for p in known)
-        self._learn(list(new.difference(known)))
-        get = self.memo.__getitem__
-        return [self._ids([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts)]
+        """Per text its ids as little-endian unsigned integers of ``packed``."""
+        flat, size = self.encode_flat(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(size)
+        return [flat[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+#: Bytes that plain pieces don't have.
+ODD_BYTES = bytes(np.flatnonzero((KINDS == ODD) & ~((np.arange(256) >= 0x80) & (np.arange(256) < 0xC0)) & (np.arange(256) != 0xC3)).tolist())
 
 
 @lru_cache(maxsize=2)
@@ -240,37 +302,54 @@ def segments(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: st
     """Segments (part, seg, before, n_ids, n_docs, data) of all documents by ascending id.
 
     Null texts are empty; each document gets ``end_id`` appended.  Rows are
-    dealt by ranges of the id and sorted; repeated ids are ordered by text,
-    and null ids, kept as -2^63 in the file, come first.  Parts are numbered
-    in id order.  Documents stream through a task: it holds one segment.
+    dealt by ranges of the id and sorted; repeated ids are ordered by a hash of
+    their text, by which they are dealt as well, and null ids, kept as -2^63 in
+    the file, come first.  Parts are numbered in id order.  Documents stream
+    through a task: it holds one segment.  Columns of other names are ignored;
+    an empty table has no segments.
     """
     _no_id(docs.schema[id_col].dataType)
     rows = common.clean_names(docs, {"doc_id": id_col, "text": text_col}).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "uid"]  # equal rows have an order too, so that none makes a part hot
+    dealt = rows.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("uid")
 
     def work(batches):
         from pyspark import TaskContext
 
-        part, seg = TaskContext.get().partitionId(), 0
+        part, seg, before = TaskContext.get().partitionId(), 0, 0
         enc = encoder(path)
-        kind, size = enc.packed, enc.packed.itemsize
-        tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
-        names, held, count, before = [], [], 0, 0
+        more = end_id is not None
+        names, sizes, held, count = [], [], [], 0
 
         def close():
-            nonlocal names, held, count, seg, before
-            lengths = np.array([len(x) // size for x in held], np.int64)
-            data = encode_segment(np.array(names, np.int64), lengths, np.frombuffer(b"".join(held), kind))
-            out = pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "before": before, "n_ids": count, "n_docs": len(names), "data": data}], SEGMENT_ARROW)
-            names, held, count, seg, before = [], [], 0, seg + 1, before + count
+            nonlocal names, sizes, held, count, seg, before
+            docs, lengths = np.concatenate(names), np.concatenate(sizes)
+            data = encode_segment(docs, lengths, np.concatenate(held))
+            out = pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "before": before, "n_ids": count, "n_docs": len(docs), "data": data}], SEGMENT_ARROW)
+            names, sizes, held, count, seg, before = [], [], [], 0, seg + 1, before + count
             return out
 
-        for b in slices(batches):
-            for name, ids in zip(b.column(0).to_pylist(), enc.encode_packed(b.column(1).to_pylist())):
-                names.append(name)
-                held.append(ids + tail)
-                count += len(ids) // size + bool(tail)
+        for b in text_slices(batches, 1):
+            name = b.column(0).to_numpy(zero_copy_only=False)
+            ids, size = enc.encode_flat(b.column(1))
+            size = size + more
+            ends = np.cumsum(size)
+            if more:
+                own = np.ones(int(ends[-1]), bool)
+                own[ends - 1] = False
+                full = np.full(len(own), end_id, enc.packed)
+                full[own] = ids
+                ids = full
+            first = 0
+            while first < len(name):
+                done = int(ends[first - 1]) if first else 0
+                last = min(int(np.searchsorted(ends, done + SEGMENT_IDS - count)), len(name) - 1)
+                names.append(name[first : last + 1])
+                sizes.append(size[first : last + 1])
+                held.append(ids[done : ends[last]])
+                count += int(ends[last]) - done
+                first = last + 1
                 if count >= SEGMENT_IDS:
                     yield close()
         if names:

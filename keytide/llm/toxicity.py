@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import slices
+from .common import text_slices
 
 MAX_LABELLED = 20_000
 MAX_WORDS = 1024
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
     model = Model({w: i for i, w in enumerate(picked)})
 
     def work(batches):
-        for b in slices(batches):
+        for b in text_slices(batches, 0):
             x = [model.features(v) for v in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(f) for f in x], pa.list_(pa.int32())), pa.array([list(f.values()) for f in x], pa.list_(pa.float64()))], ["toxic", "at", "value"])
 
@@ -159,7 +159,7 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def work(batches):
-        for b in slices(batches):
+        for b in text_slices(batches, 1):
             upto = model.at_most(model.score(b.column(1).to_pylist()))
             p = np.diff(np.concatenate([np.zeros((len(upto), 1)), upto, np.ones((len(upto), 1))], axis=1), axis=1)
             toxic = 1 - upto[:, 0]
@@ -178,11 +178,11 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def work(batches):
         at = names.index(text_col)
-        for b in slices(batches):
+        for b in text_slices(batches, at):
             toxic = 1 - model.at_most(model.score(b.column(at).to_pylist()))[:, 0]
             yield b.filter(pa.array(toxic < REJECT_FROM))
 
-    return common.text_batches(docs).mapInArrow(work, docs.schema)
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents, tricky
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from keytide.llm import bpe, token_files
+from keytide.llm import bpe, common, token_files
 
 ODD = ["", " ", "  a", "a  b", "a \n b", " \n", "x<|endoftext|>y<|endoftext|>", "aaaaaaaaa", "don't I'LL", "é́ ñ 漢字 😀 🤦🏽‍♂️", "\x00\x01 b　c", "1234½²", "a b \x85 c", "İΣ ς", "\x1cA\x1fb"]
 
@@ -58,7 +59,32 @@ def test_query_columns(spark, byte_lib):
         ids = byte_lib.encode(t or "", add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    assert bpe.encode(documents(spark, []), path).count() == 0
+    once = bpe.round_trip(documents(spark, rows), path)
+    assert once.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(want, key=str)
+    assert bpe.encode(documents(spark, []), path).count() == 0 and bpe.round_trip(documents(spark, []), path).count() == 0
+
+
+def test_white_space_beyond_ascii(byte_lib, word_lib):
+    """Every white space and sign near it, alone and doubled, before a space and after."""
+    own, words = bpe.ByteBPE(bpe.default_path()), token_files.PieceEncoder(token_files.default_path())
+    odd = [chr(c) for c in [*range(33), 0x7F, *range(0x80, 0x180), 0x1680, 0x180E, *range(0x1FF0, 0x2070), 0x3000, 0x3001, 0xFEFF]]
+    texts = [f"a{c} b {c} d{c}{c}  e{c}" for c in odd]
+    assert own.encode(texts) == [e.ids for e in byte_lib.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, words.packed).tolist() for x in words.encode_packed(texts)] == [e.ids for e in word_lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_pieces_and_slices(byte_lib, monkeypatch):
+    monkeypatch.setattr(common, "TEXT_BYTES", 50)
+    monkeypatch.setattr(common, "TEXT_ROWS", 3)
+    own = bpe.ByteBPE(bpe.default_path())
+    texts = ["x" * 3000, None, "漢字" * 500, "", "short", "a b c", "word " * 40, *"abcdefg"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])
+    parts = list(common.text_slices([batch], 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts))) and all(0 < p.num_rows <= 3 for p in parts) and len(parts) >= 6
+    got = [x for p in parts for x in own.encode([t or "" for t in p.column(1).to_pylist()])]
+    assert got == [byte_lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not any(len(p) > bpe.MEMO_BYTES for p in own.memo)
 
 
 @settings(max_examples=60, deadline=None)
