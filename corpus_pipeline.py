@@ -33,8 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them."""
-    path = bpe.default_path()
-    return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
+    return bpe.round_trip(docs, bpe.default_path())
 
 
 STAGES = [
