@@ -62,15 +62,20 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
 def stash_by(df: DataFrame, key: str, name: str = "t") -> DataFrame:
     """Like ``stash``, bucketed by ``key`` so that a later grouping by it reads
     the files where they are.  The table goes to the warehouse, which a cluster
-    shares as well."""
+    shares as well; ``unstash`` drops it."""
     spark = df.sparkSession
     table_name = f"keytide_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").saveAsTable(table_name)
-    return spark.table(table_name)
+    out = spark.table(table_name)
+    out._stash_table = table_name  # noqa: SLF001
+    return out
 
 
 def unstash(*frames: DataFrame | None) -> None:
+    """Remove what ``stash`` and ``stash_by`` wrote."""
     for df in frames:
+        if name := getattr(df, "_stash_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         path = getattr(df, "_stash_path", None)
         if path:
             jvm, spark = df.sparkSession._jvm, df.sparkSession
@@ -114,9 +119,10 @@ TEXT_ROWS = 2000
 TEXT_BYTES = 4 << 20
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], at: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most TEXT_ROWS rows, each closed by the row
-    that brings the texts in column ``at`` to TEXT_BYTES."""
+    that brings the texts in column ``at`` to TEXT_BYTES (or ``most``)."""
+    most = TEXT_BYTES if most is None else most
     for batch in batches:
         texts = batch.column(at)
         if isinstance(texts, pa.ListArray):
@@ -127,7 +133,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.Recor
         first = 0
         while first < batch.num_rows:
             done = ends[first - 1] if first else 0
-            last = min(int(np.searchsorted(ends, done + TEXT_BYTES)), first + TEXT_ROWS - 1, batch.num_rows - 1)
+            last = min(int(np.searchsorted(ends, done + most)), first + TEXT_ROWS - 1, batch.num_rows - 1)
             yield batch.slice(first, last + 1 - first)
             first = last + 1
 

@@ -4,11 +4,17 @@ Count tables of all n-grams up to ORDER are partitioned by hash and joined to
 the n-grams of each document, whose logs are summed.  A document's own counts
 are taken off, so it is scored by a model of the rest of the corpus.
 
-Both sides move in packed form.  Documents are first gathered into blocks; a
-block sends each distinct n-gram once, as a sorted run of 64-bit hashes with
-its count, to the partitions of the count table, and gets the totals back in
-the same order.  Neither a frequent n-gram nor a frequent text makes a large
-group: a block sends any n-gram once.
+The relations are those of the plain plan, but their rows are packed: a row of
+(part, n, block, run, counts) holds the n-grams of a block of documents that
+fall to one partition of the count table, sorted by their 64-bit hash, counted
+before they move.  A partition adds up the runs of all blocks and gives each
+the totals back, in its order; they are joined to the blocks, which don't move.
+Neither a frequent n-gram nor a frequent text makes a large group: a block
+sends any n-gram once.
+
+Words and pairs go first.  Of longer n-grams a document sends only those whose
+first and last n-1 words both occur in other documents: no others can, so the
+rest have no count outside their document, and nothing is left out.
 
 For word i of a document, with history as far as the document has it:
     c(h w) / c(h) if c(h w) > 0, else ALPHA times the score with a history
@@ -22,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +39,8 @@ from .common import text_slices
 
 ORDER = 3
 ALPHA = 0.4
-#: A block is closed after the document that brings it to so many words.
-BLOCK_WORDS = 1 << 22
-#: Words of a block that are looked up at once.
-CHUNK_WORDS = 1 << 18
+#: A block is closed after the slice of texts that brings it to so many words.
+BLOCK_WORDS = 1 << 21
 #: Entries of a partition of the count table, about.
 PART_ENTRIES = 2_000_000
 
@@ -54,6 +59,32 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+def number_words(texts: pa.Array, vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all words as ``tokens`` has them, how many each text has);
+    words that ``vocab`` doesn't have are added to it."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False) + 1)  # where the next text begins
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), pa.scalar("\n", pa.large_string()))[0].as_buffer()
+    data = np.frombuffer(joined, np.uint8)
+    data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
+    blank = BLANK[data]
+    at = np.flatnonzero(~blank & np.append(True, blank[:-1])[: len(data)])
+    ends = np.searchsorted(at, first)
+    if not len(at):
+        return np.zeros(0, np.uint32), ends
+    # a run is a word and the white space behind it
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    begin = np.frombuffer(runs.dictionary.buffers()[1], np.int64, len(runs.dictionary) + 1)
+    raw = runs.dictionary.buffers()[2].to_pybytes()
+    behind = np.add.reduceat(BLANK[np.frombuffer(raw, np.uint8)], begin[:-1], dtype=np.int64)
+    add = vocab.setdefault
+    number = np.array([add(raw[a:b], len(vocab)) for a, b in zip(begin.tolist(), (begin[1:] - behind).tolist())], np.uint32)
+    return number[runs.indices.to_numpy()], np.diff(ends, prepend=0)
+
+
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents packed into blocks: word numbers and the hashes of its words."""
     rows = common.clean_names(docs, {"doc_id": id_col, "text": text_col})
@@ -67,7 +98,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         def close():
             nonlocal ids, sizes, held, vocab, count, seq
-            words = np.concatenate(held) if held else np.zeros(0, np.uint32)
+            words = np.concatenate(held)
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in vocab), np.uint64, len(vocab))
             often = np.argsort(-np.bincount(words, minlength=len(vocab)), kind="stable")  # low numbers for frequent words pack well
             number = np.empty(len(vocab), np.uint32)
@@ -77,7 +108,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             planes = np.ascontiguousarray(words.astype("<u4").view(np.uint8).reshape(-1, 4).T)
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part << 32 | seq], pa.int64()), pa.array([count], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
+                    pa.array([part << 32 | seq], pa.int64()), pa.array([count], pa.int64()), pa.array([sum(ids, [])], pa.list_(pa.int64())), pa.array([np.concatenate(sizes)], pa.list_(pa.int32())),
                     pa.array([pack(planes.tobytes())], pa.binary()), pa.array([hashes.tobytes()], pa.binary()),
                 ],
                 ["block", "n_words", "doc_ids", "sizes", "words", "vocab"],
@@ -85,17 +116,14 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             ids, sizes, held, vocab, count, seq = [], [], [], {}, 0, seq + 1
             return out
 
-        for b in text_slices(batches, 1):
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws = tokens(text)
-                for w in set(ws).difference(vocab):
-                    vocab[w] = len(vocab)
-                ids.append(i)
-                sizes.append(len(ws))
-                held.append(np.fromiter(map(vocab.__getitem__, ws), np.uint32, len(ws)))
-                count += len(ws)
-                if count >= BLOCK_WORDS:
-                    yield close()
+        for b in text_slices(batches, 1, min(common.TEXT_BYTES, 8 * BLOCK_WORDS)):
+            numbers, size = number_words(b.column(1), vocab)
+            ids.append(b.column(0).to_pylist())
+            sizes.append(size)
+            held.append(numbers)
+            count += len(numbers)
+            if count >= BLOCK_WORDS:
+                yield close()
         if ids:
             yield close()
 
@@ -136,107 +164,171 @@ def _read_run(raw: bytes) -> np.ndarray:
     return np.cumsum(gap.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def _requests(packed: DataFrame, order: int, bits: int) -> DataFrame:
-    """(part, n, block, run, counts): each block's distinct n-grams by part."""
+def _squeeze(x: np.ndarray) -> bytes:
+    """Non-negative integers as planes of bytes, packed where that is shorter."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    packed = zstandard.ZstdCompressor(level=1).compress(planes) if len(planes) > 32 else planes
+    return bytes([width + 8]) + packed if len(packed) < len(planes) else bytes([width]) + planes
+
+
+def _unsqueeze(raw: bytes) -> np.ndarray:
+    width, planes = (raw[0] & 7) or 8, raw[1:]
+    if raw[0] > 8:
+        planes = zstandard.ZstdDecompressor().decompress(planes)
+    planes = np.frombuffer(planes, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8").astype(np.int64)
+
+
+class _Block:
+    """The n-grams of a block, and how often other documents have them."""
+
+    def __init__(self, sizes: np.ndarray, words: bytes, vocab: bytes, order: int):
+        self.sizes = np.array(sizes, np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.grams = _grams(self.sizes, words, vocab, order)
+        self.before: np.ndarray | None = None  # counts outside of the document, one n lower
+
+    def next(self, n: int) -> np.ndarray:
+        """Hashes of the n-grams (n from 0) that go to the count table; zero for others."""
+        self.has = next(self.grams)
+        if n < 2:
+            return self.has
+        hopeful = self.before > 0
+        hopeful[1:] &= hopeful[:-1].copy()
+        return np.where(hopeful, self.has, np.uint64(0))
+
+    def settle(self, sent: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Counts of each place's n-gram in other documents, -1 where it has none,
+        from the ``total`` of each distinct one in the order of their hashes."""
+        rest = np.where(self.has != 0, 0, -1)
+        order = np.argsort(sent, kind="stable")
+        order = order[np.searchsorted(sent[order], 1) :]
+        if len(order):
+            key, doc = sent[order], self.doc[order]
+            new = np.append(True, key[1:] != key[:-1])
+            own = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1]))  # stable: a document's places are together
+            own = np.diff(np.append(own, len(key)))
+            new = np.flatnonzero(new)
+            rest[order] = np.repeat(total, np.diff(np.append(new, len(key)))) - np.repeat(own, own)
+        self.before = rest
+        return rest
+
+
+def _run_rows(block: int, n: int, sent: np.ndarray, bits: int) -> list[dict]:
+    """The distinct n-grams of a block and their counts, a row for each part."""
+    keys, counts = np.unique(sent[sent != 0], return_counts=True)
+    if not len(keys):
+        return []
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(keys)).tolist()
+    return [{"part": int(part[x]), "n": n, "block": block, "run": _pack_run(keys[x:y]), "counts": _squeeze(counts[x:y])} for x, y in zip(cut, cut[1:])]
+
+
+RUNS = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("run", pa.binary()), ("counts", pa.binary())])
+RUNS_SCHEMA = "part int, n int, block bigint, run binary, counts binary"
+
+
+def _first_runs(packed: DataFrame, order: int, bits: int) -> DataFrame:
+    """Runs of words and pairs of words."""
 
     def work(batches):
-        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             for i in range(b.num_rows):
                 block, sizes, words, vocab = (c[i].as_py() for c in b.columns)
-                for n, grams in enumerate(_grams(np.array(sizes, np.int64), words, vocab, order)):
-                    keys, counts = np.unique(grams[grams != 0], return_counts=True)
-                    part_of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    cut = np.append(np.flatnonzero(np.append(True, np.diff(part_of) != 0)) if len(keys) else [], len(keys)).astype(np.int64)
-                    parts, spans = part_of[cut[:-1]], list(zip(cut, cut[1:]))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), n, np.int32)), pa.array(np.full(len(parts), block, np.int64)),
-                            pa.array([_pack_run(keys[x:y]) for x, y in spans], pa.binary()), pa.array([pack(counts[x:y].astype("<u4").tobytes()) for x, y in spans], pa.binary()),
-                        ],
-                        ["part", "n", "block", "run", "counts"],
-                    )
-
-    return packed.select("block", "sizes", "words", "vocab").mapInArrow(work, "part int, n int, block bigint, run binary, counts binary")
+                held = _Block(sizes, words, vocab, order)
+                for n in range(min(2, order)):
+                    yield pa.RecordBatch.from_pylist(_run_rows(block, n, held.next(n), bits), RUNS)
+
+    return packed.select("block", "sizes", "words", "vocab").mapInArrow(work, RUNS_SCHEMA)
 
 
 def _totals(group: pa.Table) -> pa.Table:
     """One partition of the count table: sums, told to every block that asked."""
-    unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
     runs = [_read_run(r.as_buffer().to_pybytes()) for r in group["run"]]
-    counts = np.concatenate([np.frombuffer(unpack(c.as_buffer().to_pybytes()), "<u4") for c in group["counts"]])
+    counts = np.concatenate([_unsqueeze(c.as_py()) for c in group["counts"]])
     _, at = np.unique(np.concatenate(runs), return_inverse=True)
-    total = np.bincount(at, counts).astype("<u8")[at]
+    total = np.bincount(at, counts).astype(np.int64)[at]
     ends = np.cumsum(list(map(len, runs)))
-    told = [pack(np.ascontiguousarray(total[a:b].view(np.uint8).reshape(-1, 8).T).tobytes()) for a, b in zip([0, *ends], ends)]
-    return pa.table({"part": group["part"], "n": group["n"], "block": group["block"], "totals": pa.array(told, pa.binary())})
+    return pa.table({"part": group["part"], "n": group["n"], "block": group["block"], "totals": pa.array([_squeeze(total[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())})
+
 
+def _answers(told: pa.Table) -> dict[int, np.ndarray]:
+    """By n the totals of a block's distinct n-grams, in the order of their hashes."""
+    rows = sorted(zip(told["n"].to_pylist(), told["part"].to_pylist(), range(told.num_rows)))
+    out: dict[int, list[np.ndarray]] = {}
+    for n, _, k in rows:
+        out.setdefault(n, []).append(_unsqueeze(told["totals"][k].as_py()))
+    return {n: np.concatenate(x) for n, x in out.items()}
 
-def _read_totals(told: list[tuple[int, bytes]]) -> np.ndarray:
-    unpack = zstandard.ZstdDecompressor().decompress
-    planes = (np.frombuffer(unpack(t), np.uint8).reshape(8, -1) for _, t in sorted(told))
-    return np.concatenate([np.zeros(0), *(np.ascontiguousarray(p.T).reshape(-1).view("<u8").astype(float) for p in planes)])
 
+NOTHING = np.zeros(0, np.int64)
+
+
+def _next_runs(n: int, bits: int):
+    """Runs of the n-grams (n from 0) of a block, by what is told of shorter ones."""
+
+    def work(block: pa.Table, told: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return RUNS.empty_table()
+        held, got = _Block(*(block[c][0].as_py() for c in ("sizes", "words", "vocab")), n + 1), _answers(told)
+        for k in range(n):
+            held.settle(held.next(k), got.pop(k, NOTHING))
+        return pa.Table.from_pylist(_run_rows(block["block"][0].as_py(), n, held.next(n), bits), RUNS)
 
-def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of whole documents of about CHUNK_WORDS words."""
-    first, held = 0, 0
-    for k, n in enumerate(sizes.tolist()):
-        held += n
-        if held >= CHUNK_WORDS:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(sizes):
-        yield first, len(sizes)
+    return work
 
 
 def _scorer(order: int, alpha: float, corpus: int):
     def score(block: pa.Table, told: pa.Table) -> pa.Table:
-        doc_ids, sizes, words, vocab = (block[c][0].as_py() for c in ("doc_ids", "sizes", "words", "vocab"))
-        sizes = np.array(sizes, np.int64)
-        ends = np.append(0, np.cumsum(sizes))
-        answers: dict[int, list[tuple[int, bytes]]] = {}
-        for n, part, totals in zip(told["n"].to_pylist(), told["part"].to_pylist(), told["totals"]):
-            answers.setdefault(n, []).append((part, totals.as_py()))
-        log, before = np.zeros(ends[-1]), np.zeros(ends[-1])
-        for n, grams in enumerate(_grams(sizes, words, vocab, order)):
-            keys = np.unique(grams[grams != 0])
-            total = np.append(_read_totals(answers.pop(n, [])), 0.0)
-            rest = np.empty(ends[-1])  # counts outside the word's own document
-            for a, b in _chunks(sizes):
-                x, y = ends[a], ends[b]
-                g = grams[x:y]
-                at = np.where(g != 0, np.searchsorted(keys, g), len(keys))
-                doc = np.repeat(np.arange(b - a), sizes[a:b])
-                _, inverse, own = np.unique(doc * (len(keys) + 1) + at, return_inverse=True, return_counts=True)
-                rest[x:y] = np.where(g != 0, total[at] - own[inverse], -1.0)
-                if n == 0:
-                    log[x:y] = np.log(np.maximum(rest[x:y], 1) / np.maximum(corpus - sizes[a:b], 1)[doc])
-                    continue
-                history = np.append(0.0, before[x : y - 1]) if y > x else before[x:y]
-                seen = rest[x:y] > 0
-                higher = np.where(seen, np.log(np.where(seen, rest[x:y], 1) / np.where(seen, history, 1)), np.log(alpha) + log[x:y])
-                log[x:y] = np.where(rest[x:y] < 0, log[x:y], higher)
-            before = rest
-        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), log, len(sizes))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array(sizes), "log_score": pa.array(sums)})
+        held, got = _Block(*(block[c][0].as_py() for c in ("sizes", "words", "vocab")), order), _answers(told)
+        for n in range(order):
+            before = held.before
+            rest = held.settle(held.next(n), got.pop(n, NOTHING))
+            if n == 0:
+                log = np.log(np.maximum(rest, 1)) - np.log(np.maximum(corpus - held.sizes, 1))[held.doc]
+                continue
+            seen = np.flatnonzero(rest > 0)
+            log[rest == 0] += np.log(alpha)
+            log[seen] = np.log(rest[seen]) - np.log(before[seen - 1])
+        sums = np.bincount(held.doc, log, len(held.sizes))
+        return pa.table({"doc_id": pa.array(block["doc_ids"][0].as_py(), pa.int64()), "n_words": pa.array(held.sizes), "log_score": pa.array(sums)})
 
     return score
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_score (sum of natural logs) of every row.
+    """doc_id (long), n_words, log_score (sum of natural logs) of every row.
 
     Null and empty texts have no words and score 0.  Repeated rows count as
-    documents of their own, so each is in the other's model.  Columns of other
-    names are ignored; an empty table gives an empty result.
+    documents of their own, so each is in the other's model.  Ids are cast to
+    long and null ids kept.  Columns of other names are ignored; an empty table
+    gives an empty result.  What is written on the way is removed.
     """
     packed = common.stash_by(blocks(docs, id_col, text_col), "block", "blocks")
-    words, kinds = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.octet_length("vocab") / 8), F.lit(0.0))).first()
-    bits = max(0, int(np.ceil(np.log2(max(1.0, (words * (order - 1) + kinds) / PART_ENTRIES)))))
-    told = _requests(packed, order, bits).groupBy("part").applyInArrow(_totals, "part int, n int, block bigint, totals binary")
-    sides = packed.select("block", "doc_ids", "sizes", "words", "vocab").groupBy("block").cogroup(told.groupBy("block"))
-    return sides.applyInArrow(_scorer(order, alpha, int(words)), "doc_id bigint, n_words bigint, log_score double")
+    told = []
+
+    def answer(runs: DataFrame) -> None:
+        totals = runs.groupBy("part").applyInArrow(_totals, "part int, n int, block bigint, totals binary")
+        told.append(common.stash(totals.select("part", "n", "block", "totals"), "totals"))
+
+    def sides():
+        known = told[0]
+        for t in told[1:]:
+            known = known.unionByName(t)
+        return packed.select("block", "doc_ids", "sizes", "words", "vocab").groupBy("block").cogroup(known.groupBy("block"))
+
+    try:
+        words, kinds = packed.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.octet_length("vocab") / 8), F.lit(0.0))).first()
+        bits = max(0, int(np.ceil(np.log2(max(1.0, (words + kinds) / PART_ENTRIES)))))
+        answer(_first_runs(packed, order, bits))
+        for n in range(2, order):
+            answer(sides().applyInArrow(_next_runs(n, bits), RUNS_SCHEMA))
+        return common.stash(sides().applyInArrow(_scorer(order, alpha, int(words)), "doc_id bigint, n_words bigint, log_score double"), "scores")
+    finally:
+        common.unstash(*told, packed)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
