@@ -126,7 +126,9 @@ def test_block_masks_cover_all_pairs():
             assert any(not diff & m for m in masks)
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("least", [1, 1000])
+def test_components_of_chains_and_stars(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "HOT_LEAST", least)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(5, 5), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200}
