@@ -1,14 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks of text, each with the path of block elements that
-leads to it.  Per path, text length outside links and punctuation are summed
-and divided by the number of blocks; the two ratios are fused, smoothed over
-neighbouring blocks in page order, and averaged back onto the path.  Paths
-over a share of the page's length-weighted mean hold content.  The outermost
-article or main element that has all of it is the article, else the smallest
-element that has; headings directly before it belong to it.  In it, blocks are
-dropped only for what they are: menus, headers, footers, sidebars, notices,
-adverts, forms, comments of readers, and lists of links off the content paths.
+leads to it.  Paragraphs, lists, tables and plain wrappers fold into the element
+around them, so a path ends at a classed or sectioning element, or at the element
+that has text of its own.  Per path, text length outside links and punctuation are
+summed and divided by the number of blocks; the two ratios are fused, smoothed
+over neighbouring blocks in page order, and averaged back onto the path.
+
+A path is content if its score reaches a share of the page's length-weighted
+mean.  Text in paragraph elements counts for more; text straight in an element is
+weighed by how much of it the page has on that path; class words that may tell of
+something else count against it.  Tags and class words that leave no doubt
+(menus, headers, footers, sidebars, notices, adverts, forms, comments of readers)
+drop a block whatever its score.  If articles hold most of the content, or else a
+main element, nothing outside them stays.  Headings stay with what they head, and
+lists of links go.
 """
 
 from __future__ import annotations
@@ -24,10 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 from .common import text_slices
 
-#: Smoothing weights over the blocks around one, and the share of the mean.
+#: Smoothing weights over the blocks around one, and how much the smoothed score counts.
 KERNEL = (0.25, 0.5, 1.0, 0.5, 0.25)
+SMOOTH = 0.25
+#: The share of the mean that content has, of the text an article must have for
+#: nothing else to count, and of links in what is a list of them.
 THRESHOLD = 0.4
+COVER = 0.5
 LINKS = 0.8
+#: Weights of paragraph elements and of each doubtful class word.
+PARAGRAPH, DOUBT = 2.0, 0.5
 
 #: What HTML reads as raw text: without an end tag the rest of the page is in it.
 RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp"}
@@ -51,7 +63,14 @@ HINTS = {
     "sidebar", "aside", "complementary", "footer", "contentinfo", "masthead", "comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "subscription", "signup", "login",
     "popup", "modal", "dialog", "overlay", "widget", "toolbar", "pagination", "pager", "paywall", "search", "searchform", "skip", "tagcloud",
 }
+#: Words that say nothing beside a hint: "ad-box" is as sure as "ad", "related-work" isn't "related".
+GENERIC = {
+    "", "area", "bar", "big", "block", "body", "bottom", "box", "btn", "button", "card", "col", "column", "container", "content", "contents", "data", "field", "fixed", "form", "global", "group", "header", "heading", "holder", "id", "inline", "inner", "item", "items", "js", "label", "left", "line", "link", "links", "list", "local", "main", "message", "module", "news", "outer",
+    "page", "panel", "policy", "post", "posts", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "small", "stories", "sticky", "sub", "text", "thread", "title", "top", "unit", "user", "users", "view", "wide", "wrap", "wrapper", "zone",
+}
 HEADER_HINTS = {"header", "topbar"}
+#: The head of an article is part of it.
+OWN_HEADER = {"article", "content", "entry", "page", "post", "section", "story"}
 KEEPERS = {"html", "body", "article", "main"}
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|/?[a-zA-Z][^>]*(?:>|\Z))""", re.S)
 SIMPLE = re.compile(r"(/?)([a-zA-Z][^\s/>]*)([^>]*)", re.S)
@@ -66,6 +85,21 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "html", "td", "th", "blockquote"}
 
 
+def _name_words(token: str) -> set[str]:
+    return {w.lower() for w in CAMEL.split(token)} - {""}
+
+
+def judge_name(token: str, hints: set[str]) -> tuple[bool, bool]:
+    """(surely, perhaps) a name of what isn't the article."""
+    ws = _name_words(token)
+    return bool(ws & hints) and ws <= hints | GENERIC, bool(ws & hints) and not ws <= hints | GENERIC
+
+
+def is_header_name(token: str) -> bool:
+    ws = _name_words(token)
+    return bool(ws & HEADER_HINTS) and not ws & OWN_HEADER - {"page", "content"} and ws <= HEADER_HINTS | GENERIC
+
+
 @dataclass
 class Block:
     path: tuple[int, ...]  # element numbers from the root
@@ -74,6 +108,9 @@ class Block:
     link: int  # characters in links
     dropped: bool
     heading: bool
+    doubts: int = 0  # elements whose class words may tell of something else
+    place: tuple[str, ...] = ()  # the path that is judged
+    marked: bool = False  # in a paragraph element, not straight in that path's
 
 
 @dataclass
@@ -81,7 +118,7 @@ class _Reader:
     """Open elements, and the blocks read so far."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, str, int, int]] = field(default_factory=list)  # tag, name, number, kind
+    stack: list[tuple[str, str, int, int, bool]] = field(default_factory=list)  # tag, name, number, kind, doubtful
     parts: list[tuple[str, bool]] = field(default_factory=list)
     count: int = 0
     links: int = 0
@@ -91,12 +128,17 @@ class _Reader:
             return
         text = " ".join("".join(p for p, _ in self.parts).split())
         if text:
-            kinds = [k for *_, k in self.stack]
-            heading = any(t in HEADINGS for t, *_ in self.stack)
-            inside = max((i for i, (t, *_) in enumerate(self.stack) if t in ("article", "main")), default=-1)
+            kinds = [e[3] for e in self.stack]
+            heading = any(e[0] in HEADINGS for e in self.stack)
+            inside = max((i for i, e in enumerate(self.stack) if e[0] in ("article", "main")), default=-1)
             dropped = 2 in kinds or any(k == 1 and not (heading and i > inside >= 0) for i, k in enumerate(kinds))
             link = sum(len("".join(p.split())) for p, in_link in self.parts if in_link)
-            self.blocks.append(Block(tuple(n for _, _, n, _ in self.stack), tuple(n for _, n, _, _ in self.stack), text, link, dropped, heading))
+            blocks = [e for e in self.stack if e[0] not in INLINE]
+            ends = max((i + 1 for i, (tag, name, _, _, doubtful) in enumerate(blocks) if doubtful or (tag not in PARTS and name != "div")), default=0)
+            marked = any(e[0] in PARTS for e in blocks[ends:])
+            place = tuple(e[1] for e in (blocks[:ends] if marked else blocks))
+            doubts = sum(e[4] for e in self.stack)
+            self.blocks.append(Block(tuple(e[2] for e in self.stack), tuple(e[1] for e in self.stack), text, link, dropped, heading, doubts, place, marked))
         self.parts = []
 
     def open(self, tag: str, attrs: str) -> None:
@@ -106,26 +148,30 @@ class _Reader:
             if tag == "br":
                 self.parts.append((" ", False))
             return
-        kind, name = (1 if tag == "header" else 2 if tag in BOILERPLATE else 0), tag
+        kind, name, doubtful = (1 if tag == "header" else 2 if tag in BOILERPLATE else 0), tag, False
         if attrs and tag not in ("html", "body"):
             found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTR.finditer(attrs)}
-            hints = {w.lower() for k in ("class", "id", "role") for w in CAMEL.split(ABOUT_PAGE.sub(" ", found.get(k, "")))}
-            if hints & (ARTICLE_HINTS if tag in KEEPERS else HINTS) or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
+            for k in ("class", "id", "role"):
+                for token in ABOUT_PAGE.sub(" ", found.get(k, "")).split():
+                    sure, doubt = judge_name(token, ARTICLE_HINTS if tag in KEEPERS else HINTS)
+                    kind = 2 if sure else kind
+                    doubtful |= doubt
+                    if tag not in KEEPERS and is_header_name(token):
+                        kind = max(kind, 1)
+            if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
                 kind = 2
-            elif hints & HEADER_HINTS and tag not in KEEPERS:
-                kind = max(kind, 1)
             if found.get("class"):
                 name = f"{tag}.{found['class']}"
         if tag in INLINE:
             if kind:  # a hidden span ends the run of text but not the block
-                self.stack.append((tag, name, self.count, kind))
+                self.stack.append((tag, name, self.count, kind, doubtful))
                 self.count += 1
             return
         self.flush()
         self._imply(tag)
         if tag in VOID:
             return
-        self.stack.append((tag, name, self.count, kind))
+        self.stack.append((tag, name, self.count, kind, doubtful))
         self.count += 1
 
     def _imply(self, tag: str) -> None:
@@ -201,28 +247,33 @@ def blocks(page: str) -> list[Block]:
     return r.blocks
 
 
-def _ratios(found: list[Block]) -> list[float]:
-    """Fused and smoothed ratio of each block's path."""
+def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
+    """Fused and smoothed ratio of each path."""
     sums: dict[tuple[str, ...], list[float]] = {}
     for b in found:
-        s = sums.setdefault(b.names, [0, 0, 0, 0])
-        size = len(b.text)
-        s[0] += max(0, size - b.link)
-        s[1] += len(PUNCT.findall(b.text)) * (b.link < LINKS * size)
+        s = sums.setdefault(b.place, [0, 0, 0])
+        s[0] += max(0, len(b.text) - b.link)
+        s[1] += len(PUNCT.findall(b.text)) * (b.link < LINKS * len(b.text))
         s[2] += 1
-        s[3] += size
-    fused = {p: math.log1p(n / k) * (1 + math.log1p(q / k)) * (n / max(1, size)) for p, (n, q, k, size) in sums.items()}
-    raw, half = [fused[b.names] for b in found], len(KERNEL) // 2
-    smooth = []
-    for i in range(len(raw)):
+    fused = {p: math.sqrt(n / k * (1 + q / k)) for p, (n, q, k) in sums.items()}
+    raw, half = [fused[b.place] for b in found], len(KERNEL) // 2
+    around: dict[tuple[str, ...], list[float]] = {}
+    for i, b in enumerate(found):
         near = [(raw[i + d], KERNEL[d + half]) for d in range(-half, half + 1) if 0 <= i + d < len(raw)]
-        smooth.append(sum(v * w for v, w in near) / sum(w for _, w in near))
-    mean: dict[tuple[str, ...], list[float]] = {}
-    for b, v in zip(found, smooth):
-        m = mean.setdefault(b.names, [0, 0])
-        m[0] += v
-        m[1] += 1
-    return [(fused[b.names] + mean[b.names][0] / mean[b.names][1]) / 2 for b in found]
+        around.setdefault(b.place, []).append(sum(v * w for v, w in near) / sum(w for _, w in near))
+    return {p: (1 - SMOOTH) * fused[p] + SMOOTH * sum(v) / len(v) for p, v in around.items()}
+
+
+def content(found: list[Block]) -> list[bool]:
+    """Which blocks are on content paths."""
+    score = path_scores(found)
+    size: dict[tuple[str, ...], int] = {}
+    for b in found:
+        size[b.place] = size.get(b.place, 0) + len(b.text)
+    total, most = sum(size.values()), max(size.values())
+    limit = THRESHOLD * sum(score[p] * n for p, n in size.items()) / total
+    weight = lambda b: (PARAGRAPH if b.marked else math.sqrt(size[b.place] / most)) * DOUBT**b.doubts
+    return [score[b.place] * weight(b) >= limit for b in found]
 
 
 def extract(page: str | None) -> str:
@@ -230,31 +281,44 @@ def extract(page: str | None) -> str:
     found = [b for b in blocks(page or "") if not b.dropped]
     if not found:
         return ""
-    ratio = _ratios(found)
-    total = sum(len(b.text) for b in found)
-    limit = THRESHOLD * sum(r * len(b.text) for r, b in zip(ratio, found)) / total
-    chosen = [r >= limit for r in ratio]
-    # what all chosen blocks have in common, or else the article around it
-    paths = [b.path for b, ok in zip(found, chosen) if ok]
-    shared = [n for n in (min(paths) if paths else ()) if all(n in p for p in paths)]
-    marked = {n: name.split(".")[0] for b in found for n, name in zip(b.path, b.names)}
-    root = next((n for n in shared if marked[n] in ("article", "main")), None)
-    if root is None:
-        root = next((n for n in reversed(shared) if marked[n] not in PARTS), None)
-    inside = [root is None or root in b.path for b in found]
-    for i in range(inside.index(True) - 1, -1, -1):  # headings directly before it
+    chosen = content(found)
+    # outside of articles, or else of a main element, that hold most of it nothing counts
+    mass = sum(len(b.text) for b, ok in zip(found, chosen) if ok)
+    home = [True] * len(found)
+    for tag in ("article", "main"):
+        inside = [any(n.split(".")[0] == tag for n in b.names) for b in found]
+        if mass and sum(len(b.text) for b, ok, here in zip(found, chosen, inside) if ok and here) >= COVER * mass:
+            home = inside
+            break
+    for i in range(home.index(True) - 1, -1, -1):  # headings directly before it
         if not found[i].heading:
             break
-        inside[i] = True
-    out = [b.text for b, ok, here in zip(found, chosen, inside) if here and (ok or b.heading or b.link < LINKS * len("".join(b.text.split())))]
-    return "\n\n".join(out)
+        home[i] = True
+    # a path of links only is a list of them
+    links: dict[tuple[str, ...], list[int]] = {}
+    for b in found:
+        n = links.setdefault(b.names, [0, 0])
+        n[0] += b.link
+        n[1] += len("".join(b.text.split()))
+    keep = [here and ok and (b.heading or links[b.names][0] < LINKS * links[b.names][1]) for b, ok, here in zip(found, chosen, home)]
+    # a heading stays with what it heads, and where its path has other text that does
+    texts = {b.place for b in found if not b.heading}
+    kept = {b.place for b, ok in zip(found, keep) if ok and not b.heading}
+    follows = False
+    for i in range(len(found) - 1, -1, -1):
+        if found[i].heading:
+            keep[i] = home[i] and (follows or (keep[i] and (found[i].place in kept or found[i].place not in texts)))
+        else:
+            follows = keep[i]
+    return "\n\n".join(b.text for b, ok in zip(found, keep) if ok)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
     Null and empty pages, and those with no text, give an empty text.
-    Repeated rows are read alike; columns of other names are ignored.
+    Repeated rows are read alike, null ids and urls are kept; columns of other
+    names are ignored; an empty table gives an empty result.
     """
 
     def work(batches):

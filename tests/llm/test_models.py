@@ -283,3 +283,53 @@ def test_registry_names():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in registry.QUERIES) == 1
     assert set(registry.SQL) <= set(registry.QUERIES)
+
+
+UNNAMED = [
+    f"<article><h1>T</h1><p>{LONG}</p><div class='z'>Buy now! Great offers, today only.</div><p>{LONG}</p><p>{LONG}</p></article>",
+    f"<div class='q7'>This site keeps small files, see here.</div><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article>",
+    f"<div>This site keeps small files, see here.</div><div class='k'><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class='w'><h3>More</h3>Win a prize, now!</div>",
+    f"<article><div class='head9'><h1>T</h1></div><div class='x1'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class='b2'><h4>Offers</h4><ul><li><a href=1>One</a></li></ul></div></article>",
+]
+
+
+@pytest.mark.parametrize("page", UNNAMED)
+def test_ratios_drop_adverts_and_notices_without_a_name(page, monkeypatch):
+    assert html_text.extract(page).split("\n\n") == ["T", LONG, LONG, LONG]
+
+
+def test_constant_ratios_change_the_result(monkeypatch):
+    monkeypatch.setattr(html_text, "path_scores", lambda found: {b.place: 1.0 for b in found})
+    assert sum(html_text.extract(p).split("\n\n") != ["T", LONG, LONG, LONG] for p in UNNAMED) >= 3
+
+
+def test_names_that_leave_doubt_only_weigh():
+    page = f"<article><div class='article-header'><h1>Title</h1><p>{LONG}</p></div><p>{LONG}</p><section class='related-work'><h2>Others</h2><p>{LONG}</p><p>Short.</p></section><section class='related posts'><p>{LONG}</p></section><div class='ad-box'><p>{LONG}</p></div></article>"
+    assert html_text.extract(page).split("\n\n") == ["Title", LONG, LONG, "Others", LONG, "Short."]
+
+
+def test_path_scores_against_sums():
+    rng = random.Random(12)
+    for _ in range(50):
+        found = [html_text.Block((), (), "".join(rng.choice("ab,. ") for _ in range(rng.randrange(1, 60))).strip() or "x", rng.randrange(0, 12), False, False, 0, (rng.choice("pqr"),)) for _ in range(rng.randrange(1, 30))]
+        ratio = {}
+        for place in {b.place for b in found}:
+            mine = [b for b in found if b.place == place]
+            length = sum(max(0, len(b.text) - b.link) for b in mine) / len(mine)
+            marks = sum(sum(c in ",." for c in b.text) for b in mine if b.link < 0.8 * len(b.text)) / len(mine)
+            ratio[place] = math.sqrt(length * (1 + marks))
+        weight = {-2: 0.25, -1: 0.5, 0: 1.0, 1: 0.5, 2: 0.25}
+        want = {}
+        for place in ratio:
+            smooth = []
+            for i, b in enumerate(found):
+                if b.place == place:
+                    near = [(ratio[found[i + d].place], w) for d, w in weight.items() if 0 <= i + d < len(found)]
+                    smooth.append(sum(r * w for r, w in near) / sum(w for _, w in near))
+            want[place] = 0.75 * ratio[place] + 0.25 * sum(smooth) / len(smooth)
+        got = html_text.path_scores(found)
+        assert got.keys() == want.keys() and all(math.isclose(got[p], want[p]) for p in got)
+
+
+def test_empty_pages_table(spark):
+    assert html_text.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
