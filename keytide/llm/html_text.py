@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 from .common import text_slices
 
-#: Smoothing weights over the blocks around one, and how much the smoothed score counts.
+#: Smoothing weights over the blocks around one, and the smoothed ratio's share of the fused one.
 KERNEL = (0.25, 0.5, 1.0, 0.5, 0.25)
 SMOOTH = 0.25
 #: The share of the mean that content has, of the text an article must have for
@@ -39,7 +39,7 @@ THRESHOLD = 0.4
 COVER = 0.5
 LINKS = 0.8
 #: Weights of paragraph elements and of each doubtful class word.
-PARAGRAPH, DOUBT = 2.0, 0.5
+PARAGRAPH, DOUBT = 1.25, 0.5
 
 #: What HTML reads as raw text: without an end tag the rest of the page is in it.
 RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp"}
@@ -248,9 +248,12 @@ def blocks(page: str) -> list[Block]:
 
 
 def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Fused and smoothed ratio of each path."""
+    """Fused and smoothed ratio of each path; headings count where there is nothing else."""
     sums: dict[tuple[str, ...], list[float]] = {}
+    texts = {b.place for b in found if not b.heading}
     for b in found:
+        if b.heading and b.place in texts:
+            continue
         s = sums.setdefault(b.place, [0, 0, 0])
         s[0] += max(0, len(b.text) - b.link)
         s[1] += len(PUNCT.findall(b.text)) * (b.link < LINKS * len(b.text))
@@ -261,7 +264,7 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
     for i, b in enumerate(found):
         near = [(raw[i + d], KERNEL[d + half]) for d in range(-half, half + 1) if 0 <= i + d < len(raw)]
         around.setdefault(b.place, []).append(sum(v * w for v, w in near) / sum(w for _, w in near))
-    return {p: (1 - SMOOTH) * fused[p] + SMOOTH * sum(v) / len(v) for p, v in around.items()}
+    return {p: fused[p] ** (1 - SMOOTH) * (sum(v) / len(v)) ** SMOOTH for p, v in around.items()}
 
 
 def content(found: list[Block]) -> list[bool]:

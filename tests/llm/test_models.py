@@ -290,6 +290,8 @@ UNNAMED = [
     f"<div class='q7'>This site keeps small files, see here.</div><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article>",
     f"<div>This site keeps small files, see here.</div><div class='k'><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class='w'><h3>More</h3>Win a prize, now!</div>",
     f"<article><div class='head9'><h1>T</h1></div><div class='x1'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class='b2'><h4>Offers</h4><ul><li><a href=1>One</a></li></ul></div></article>",
+    f"<article><h1>T</h1><p>{LONG}</p><div class='z'><p>Win now</p></div><p>{LONG}</p><p>{LONG}</p></article>",
+    f"<div class='u'><p>Members only</p></div><div class='k'><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class='v'><ul><li>Top</li><li>Print</li></ul></div>",
 ]
 
 
@@ -326,7 +328,7 @@ def test_path_scores_against_sums():
                 if b.place == place:
                     near = [(ratio[found[i + d].place], w) for d, w in weight.items() if 0 <= i + d < len(found)]
                     smooth.append(sum(r * w for r, w in near) / sum(w for _, w in near))
-            want[place] = 0.75 * ratio[place] + 0.25 * sum(smooth) / len(smooth)
+            want[place] = ratio[place] ** 0.75 * (sum(smooth) / len(smooth)) ** 0.25
         got = html_text.path_scores(found)
         assert got.keys() == want.keys() and all(math.isclose(got[p], want[p]) for p in got)
 
