@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -102,16 +103,48 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return first.unionByName(rest)
 
 
-def anti_join_ids(rows: DataFrame, gone: DataFrame, key: str, count: int) -> DataFrame:
-    """``rows`` without those whose ``key`` is in ``gone`` (``count`` rows).
+def _by_ids(rows: DataFrame, ids: DataFrame, key: str, count: int, how: str) -> DataFrame:
+    """``rows`` joined to distinct ``ids`` (``count`` rows, 8 to 40 bytes each),
+    of which at most BROADCAST_ROWS are broadcast at once.
 
-    Up to BROADCAST_ROWS ids (8 bytes each) are broadcast and the rows do not
-    move; more of them are matched by a shuffled join.
+    More of them are taken in ranges, each against the rows of that range: the
+    rows don't move, and a range reads only the row groups that have ids of it.
     """
+    ids = ids.select(F.col(f"`{ids.columns[0]}`").alias(key))
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(ids), key, how)
+    parts = -(-5 * count // (4 * BROADCAST_ROWS))
+    kind, c = rows.schema[key].dataType, F.col(f"`{key}`")
+    if isinstance(kind, T.NumericType):
+        cuts = sorted(set(ids.select(c.cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 1 / (16 * parts))))
+        at = c.cast("double") if isinstance(kind, T.FractionalType) else c
+        cuts = [x if isinstance(kind, T.FractionalType) else int(x) for x in cuts]
+        ranges = [(F.lit(True) if lo is None else at >= lo) & (F.lit(True) if hi is None else at < hi) for lo, hi in zip([None, *cuts], [*cuts, None])]
+    else:
+        ranges = [F.pmod(F.xxhash64(c), F.lit(parts)) == i for i in range(parts)]
+    out = None
+    for r in ranges:
+        one = rows.filter(r).join(F.broadcast(ids.filter(r)), key, how)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def without_ids(rows: DataFrame, gone: DataFrame, key: str, count: int) -> DataFrame:
+    """``rows`` without those whose ``key`` is in the first column of ``gone``
+    (``count`` distinct rows).  No row moves; rows with a null key stay."""
     if count == 0:
         return rows
-    gone = gone.select(key).distinct()
-    return rows.join(F.broadcast(gone) if count <= BROADCAST_ROWS else gone.hint("shuffle_hash"), key, "left_anti")
+    names, c = [F.col(f"`{n}`") for n in rows.columns], F.col(f"`{key}`")
+    if count <= BROADCAST_ROWS:  # an anti join keeps null keys
+        return _by_ids(rows, gone, key, count, "left_anti").select(*names)
+    return _by_ids(rows.filter(c.isNotNull()), gone, key, count, "left_anti").select(*names).unionByName(rows.filter(c.isNull()))
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str, count: int) -> DataFrame:
+    """``rows`` whose ``key`` is in the first column of ``ids`` (``count`` distinct rows)."""
+    if count == 0:
+        return rows.limit(0)
+    return _by_ids(rows, ids, key, count, "left_semi").select(*[F.col(f"`{n}`") for n in rows.columns])
 
 
 #: Rows and bytes of whole texts that an operator works on at once, about.

@@ -205,8 +205,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     or go together.
     """
     found = classify(docs, id_col, text_col)
-    gone = common.stash(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), "gone")
-    return common.anti_join_ids(docs, gone, id_col, gone.count()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = common.stash(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return common.without_ids(docs, gone, id_col, gone.count())
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

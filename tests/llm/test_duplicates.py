@@ -46,6 +46,43 @@ def test_exact_rows(spark, monkeypatch, limit):
         assert i == max(ids, default=None)
 
 
+def exchanges_over_text(plan):
+    """Whether a shuffle of the plan has a scan that reads ``text`` below it."""
+    lines = [line for line in plan.splitlines() if line.strip()]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    for i, line in enumerate(lines):
+        if "Exchange" in line and "Broadcast" not in line:
+            for below in lines[i + 1 :]:
+                if depth(below) <= depth(line):
+                    break
+                if "FileScan" in below and "text" in below.split("[", 1)[1].split("]")[0]:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+@pytest.mark.parametrize("ids", [2, 1 << 20])
+def test_texts_do_not_move(spark, monkeypatch, tmp_path, limit, ids):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", ids)
+    rows = [(i, f"text {i % 70}") for i in range(100)] + [(None, "alone")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    kept = exact_dedup.deduplicate(docs)
+    assert not exchanges_over_text(kept._jdf.queryExecution().executedPlan().toString())
+    assert exchanges_over_text(docs.repartition("doc_id")._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*range(30, 100), None], key=str)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_rows_by_ids_in_ranges(spark, monkeypatch, kind):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 7)
+    rows = spark.range(100).selectExpr(f"cast(id as {kind}) as `k.x`", "id as n").unionByName(spark.sql(f"select cast(null as {kind}) as `k.x`, -1L as n"))
+    gone = spark.range(0, 100, 3).selectExpr(f"cast(id as {kind}) as doc_id")
+    assert sorted(r.n for r in common.without_ids(rows, gone, "k.x", 34).collect()) == [-1] + [i for i in range(100) if i % 3]
+    assert sorted(r.n for r in common.with_ids(rows, gone, "k.x", 34).collect()) == list(range(0, 100, 3))
+
+
 def test_exact_empty(spark):
     docs = documents(spark, [])
     assert exact_dedup.classify(docs).count() == 0 and exact_dedup.deduplicate(docs).count() == 0
