@@ -281,12 +281,18 @@ def test_short_texts_and_passages_are_found(spark):
         for k in range(2):
             rows += [(10 * n + k, " ".join(text)), (10 * n + 5 + k, " ".join(new(7 * k + 3) + part + new(n % 9)))]
             want |= {10 * n + k: (10 * n, range(n)), 10 * n + 5 + k: (10 * n + 5, range(7 * k + 3, 7 * k + 3 + n))}
-    rows += [(1, "a notice of few words"), (2, "a notice of few words"), (3, " ".join(new(40)))]
+    rows += [(1, "a notice, four"), (2, "a notice, four"), (3, " ".join(new(40)))]
+    for n in range(5, 24):  # short texts as a whole, but not as parts of others
+        text = new(n)
+        rows += [(2000 + n, " ".join(text)), (2100 + n, " ".join(text).upper()), (2200 + n, " ".join(text + new(30))), (2300 + n, " ".join(text + new(1)))]
     got = {r.doc_id: r for r in substring_dedup.classify(documents(spark, rows)).collect()}
     for i, (keep, part) in want.items():
         assert got[i].repeated and got[i].component_id == keep
         assert removed_words(got[i]) == (set() if i == keep else set(part))
     assert not any(got[i].repeated for i in (1, 2, 3))
+    for n in range(5, 24):
+        assert [got[i + n].repeated for i in (2000, 2100, 2200, 2300)] == [True, True, False, False]
+        assert got[2100 + n].removed_at == [0] and got[2000 + n].removed_at == [] and got[2100 + n].component_id == 2000 + n
 
 
 def test_every_further_occurrence_is_removed(spark):
