@@ -18,18 +18,27 @@ MASK32 = 4294967295
 
 
 def _fold(key: Column, start: Column, step) -> Column:
-    """``step(state, byte)`` over the UTF-8 bytes of a key."""
+    """``step(state, byte)`` over the UTF-8 bytes of a key, which become an
+    array of numbers once."""
     raw = F.encode(key, "UTF-8")
-    byte = lambda i: F.conv(F.hex(F.substring(raw, i, 1)), 16, 10).cast("bigint")
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(raw)), start, lambda acc, i: step(acc, byte(i)))
-    return F.when(F.length(raw) == 0, start).otherwise(folded)
+    codes = F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), lambda c: F.ascii(c).cast("bigint"))
+    return F.when(F.length(raw) == 0, start).otherwise(F.aggregate(codes, start, step))
+
+
+def _crc16_of_byte(b: int) -> int:
+    """What one byte does to an empty CRC: eight steps of the polynomial."""
+    x = b << 8
+    for _ in range(8):
+        x = (x << 1 ^ 0x1021 if x & 0x8000 else x << 1) & 0xFFFF
+    return x
 
 
 def crc16(key: Column) -> Column:
+    table = F.array(*[F.lit(_crc16_of_byte(b)).cast("bigint") for b in range(256)])
+
     def step(acc, b):
-        x = F.shiftright(acc, 8).bitwiseXOR(b)
-        x = x.bitwiseXOR(F.shiftright(x, 4))
-        return F.shiftleft(acc, 8).bitwiseXOR(F.shiftleft(x, 12)).bitwiseXOR(F.shiftleft(x, 5)).bitwiseXOR(x).bitwiseAND(F.lit(65535))
+        at = F.shiftright(acc, 8).bitwiseXOR(b).cast("int")
+        return F.shiftleft(acc.bitwiseAND(F.lit(255)), 8).bitwiseXOR(table[at])
 
     return _fold(key, F.lit(0).cast("bigint"), step)
 

@@ -1,8 +1,8 @@
 """Routing by hash slot, and topology reports.
 
-Slot tables have at most SLOTS = 16,384 rows and node tables no more nodes than
-that, so both are broadcast.  Where nodes claim the same slot the least id
-wins.
+Slot tables have at most SLOTS = 16,384 rows, as they are grouped by slot, and are
+broadcast.  Node tables are counted before they are, and may have as many rows.
+Where nodes claim the same slot, or a slot moves to several, the least id wins.
 """
 
 from __future__ import annotations
@@ -16,10 +16,23 @@ PFAIL_AFTER_US = 10_000_000
 FAIL_AFTER_US = 30_000_000
 
 
+def few(nodes: DataFrame, most: int = SLOTS) -> DataFrame:
+    """``nodes`` to be broadcast: more than ``most`` of them are an error."""
+    if nodes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} nodes")
+    return F.broadcast(nodes)
+
+
 def slot_table(nodes: DataFrame) -> DataFrame:
     """(slot, id, addr) of assigned slots, from nodes' ranges."""
     ranges = nodes.select("id", "addr", F.explode("slots").alias("r"))
-    return ranges.select(F.explode(F.sequence("r.start", "r.end")).alias("slot"), "id", "addr").groupBy("slot").agg(F.min(F.struct("id", "addr")).alias("n")).select("slot", "n.*")
+    return ranges.select(F.explode(_slots("r")).alias("slot"), "id", "addr").groupBy("slot").agg(F.min(F.struct("id", "addr")).alias("n")).select("slot", "n.*")
+
+
+def _slots(r: str) -> Column:
+    """The slots there are of a range; none of one that ends before it starts."""
+    low, high = F.greatest(F.col(f"{r}.start"), F.lit(0)), F.least(F.col(f"{r}.end"), F.lit(SLOTS - 1))
+    return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
 
 
 def route(keys: DataFrame, nodes: DataFrame, me: str, importing: DataFrame | None = None, replica_reads: bool = False) -> DataFrame:
@@ -31,7 +44,7 @@ def route(keys: DataFrame, nodes: DataFrame, me: str, importing: DataFrame | Non
     rows = rows.join(owners, rows["slot"] == owners["s"], "left")
     taken = F.lit(False)
     if importing is not None:
-        rows = rows.join(F.broadcast(importing.select("slot").distinct().withColumn("taken", F.lit(True))), "slot", "left")
+        rows = rows.join(F.broadcast(importing.filter(F.col("slot").between(0, SLOTS - 1)).select("slot").distinct().withColumn("taken", F.lit(True))), "slot", "left")
         taken = F.coalesce("taken", F.lit(False))
     served = taken | (F.col("id") == me) | F.lit(replica_reads)
     down = F.concat(F.lit("CLUSTERDOWN Hash slot "), F.col("slot"), F.lit(" is not served"))
@@ -42,9 +55,10 @@ def route(keys: DataFrame, nodes: DataFrame, me: str, importing: DataFrame | Non
 def ask(keys: DataFrame, kv: DataFrame, migrating: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, slot, reply): ASK for keys of migrating slots (slot, target) that
     are no longer here, else null."""
+    moving = migrating.filter(F.col("slot").between(0, SLOTS - 1)).groupBy("slot").agg(F.min("target").alias("id"))
     rows = keys.select("key", slot(F.col("key")).alias("slot"))
-    rows = rows.join(F.broadcast(migrating.select("slot", F.col("target").alias("id"))), "slot", "left").join(F.broadcast(nodes.select("id", "addr")), "id", "left")
-    rows = rows.join(kv.select("key", F.lit(True).alias("here")), "key", "left")
+    rows = rows.join(F.broadcast(moving), "slot", "left").join(few(nodes.groupBy("id").agg(F.min("addr").alias("addr"))), "id", "left")
+    rows = rows.join(kv.select("key").distinct().withColumn("here", F.lit(True)), "key", "left")
     gone = F.col("addr").isNotNull() & F.col("here").isNull()
     return rows.select("key", "slot", F.when(gone, F.concat(F.lit("ASK "), F.col("slot"), F.lit(" "), F.col("addr"))).alias("reply"))
 
@@ -69,7 +83,7 @@ def islands(owned: DataFrame) -> DataFrame:
 
 def slots_report(nodes: DataFrame) -> DataFrame:
     """(start, end, id, host, port) of contiguous runs of one owner."""
-    runs = islands(slot_table(nodes).select("slot", "id")).join(F.broadcast(nodes.select("id", "addr")), "id")
+    runs = islands(slot_table(nodes).select("slot", "id")).join(few(nodes.select("id", "addr")), "id")
     host, port = split_addr(F.col("addr"))
     return runs.select("start", "end", "id", host.alias("host"), port.alias("port"))
 
@@ -83,7 +97,7 @@ def split_addr(addr: Column) -> tuple[Column, Column]:
 
 def ranges_text(nodes: DataFrame) -> DataFrame:
     """(id, ranges): ``0-5460,5463``; a single slot has no dash."""
-    owned = nodes.select("id", F.explode("slots").alias("r")).select(F.explode(F.sequence("r.start", "r.end")).alias("slot"), "id").distinct()
+    owned = nodes.select("id", F.explode("slots").alias("r")).select(F.explode(_slots("r")).alias("slot"), "id").distinct()
     one = F.when(F.col("start") == F.col("end"), F.col("start").cast("string")).otherwise(F.concat_ws("-", "start", "end"))
     lists = islands(owned).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", one.alias("t")))).alias("l"))
     return lists.select("id", F.array_join(F.transform("l", lambda r: r["t"]), ",").alias("ranges"))
@@ -100,7 +114,7 @@ def meet(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """``nodes`` with those of ``asked`` (id, addr, start, end) whose address
     isn't known; their slots only if the range lies in 0 .. SLOTS-1.  Of the
     same new address the least id joins."""
-    new = asked.join(F.broadcast(nodes.select("addr")), "addr", "left_anti").groupBy("addr").agg(F.min(F.struct("id", "start", "end")).alias("n"))
+    new = asked.join(few(nodes.select("addr")), "addr", "left_anti").groupBy("addr").agg(F.min(F.struct("id", "start", "end")).alias("n"))
     whole = (F.col("n.start") >= 0) & (F.col("n.end") < SLOTS) & (F.col("n.start") <= F.col("n.end"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     made = {"id": F.col("n.id"), "addr": F.col("addr"), "state": F.lit("ONLINE"), "role": F.lit("master"), "slots": F.when(whole, F.array(F.struct(F.col("n.start").cast("int").alias("start"), F.col("n.end").cast("int").alias("end")))).otherwise(none)}
@@ -123,7 +137,7 @@ def setslot(owners: DataFrame, log: DataFrame, nodes: DataFrame, me: str) -> Dat
     while ``me`` owns the slot; unknown nodes, actions and slots count for
     nothing.  Later entries replace earlier ones.
     """
-    known = log.filter(F.col("slot").between(0, SLOTS - 1)).join(F.broadcast(nodes.select(F.col("id").alias("node"))), "node", "left_semi").withColumn("action", F.upper("action"))
+    known = log.filter(F.col("slot").between(0, SLOTS - 1)).join(few(nodes.select(F.col("id").alias("node"))), "node", "left_semi").withColumn("action", F.upper("action"))
     base = owners.select(F.lit(-1).cast("bigint").alias("seq"), "slot", F.lit("NODE").alias("action"), F.col("id").alias("node"))
     w = Window.partitionBy("slot").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = base.unionByName(known.filter(F.col("action").isin("NODE", "MIGRATING", "IMPORTING")).select("seq", "slot", "action", "node"))
@@ -173,3 +187,31 @@ def migrate(kv: DataFrame, moves: DataFrame) -> DataFrame:
     rows = kv.join(chain, "key", "left")
     where = F.aggregate(F.coalesce("m", F.array().cast("array<struct<seq:bigint,source:string,target:string>>")), F.col("node"), lambda at, m: F.when(m["source"] == at, m["target"]).otherwise(at))
     return rows.select(where.alias("node"), "key", "value")
+
+
+def setslot_replies(owners: DataFrame, log: DataFrame, nodes: DataFrame, me: str) -> DataFrame:
+    """(seq, reply) for each entry of the log of ``setslot``: OK, or why it counts
+    for nothing.  MIGRATING asks who owns the slot by then."""
+    known = few(nodes.select(F.col("id").alias("node"), F.lit(True).alias("known")).distinct())
+    action = F.upper("action")
+    rows = log.join(known, "node", "left").withColumn("action", action)
+    good = F.col("slot").between(0, SLOTS - 1) & F.col("known").isNotNull()
+    gives = F.when((F.col("action") == "NODE") & good, F.col("node"))
+    base = owners.select(F.lit(-1).cast("bigint").alias("seq"), "slot", F.lit("NODE").alias("action"), F.col("id").alias("node"), F.lit(True).alias("known"))
+    w = Window.partitionBy("slot").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    told = base.unionByName(rows.select("seq", "slot", "action", "node", "known")).withColumn("owner", F.last(gives, ignorenulls=True).over(w)).filter("seq >= 0")
+    name = F.col("action")
+    reply = (
+        F.when(F.col("slot").isNull() | ~F.col("slot").between(0, SLOTS - 1), "-ERR invalid slot number")
+        .when(name.isNull() | ~name.isin("NODE", "MIGRATING", "IMPORTING"), "-ERR unknown setslot action")
+        .when(F.col("node").isNull(), F.concat(F.lit("-ERR missing node-id for "), name))
+        .when((name == "MIGRATING") & ~F.coalesce(F.col("owner") == me, F.lit(False)), "-ERR I'm not the owner of this slot")
+        .when(F.col("known").isNull(), F.concat(F.lit("-ERR unknown node "), "node"))
+        .otherwise("+OK")
+    )
+    return told.select("seq", reply.alias("reply"))
+
+
+def my_id(me: str) -> str:
+    """The reply to CLUSTER MYID."""
+    return f"${me}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.operators.commands import running_sum
+from keytide.operators.sums import running_sum
 
 BUFFER = 256
 

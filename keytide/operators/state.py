@@ -18,19 +18,26 @@ from keytide import model
 from keytide.functions import hashing
 
 
+def known(ops: DataFrame) -> DataFrame:
+    """Operations that count: unknown ones, those without a key or a place in
+    the log, and expiries without an instant don't."""
+    timed = (F.col("op") != "EXPIRE") | F.col("exp_us").isNotNull()
+    return ops.filter(F.col("op").isin("SET", "DEL", "EXPIRE", "PERSIST") & timed & F.col("key").isNotNull() & F.col("seq").isNotNull())
+
+
 def replay(ops: DataFrame, as_of: int) -> DataFrame:
     """Recovery of (seq, op, key, value, exp_us): two last-value aggregates.
 
     A key exists if the last of its writes, deletes and expiries already past
     is a write.  Its expiry is that of its last delete, expiry or persist, if
     that is a coming expiry.  A write doesn't clear an expiry.  Unknown
-    operations count for nothing.
+    operations, null keys and expiries without an instant count for nothing; an
+    empty log has no keys.
     """
     past = (F.col("op") == "EXPIRE") & (F.col("exp_us") <= as_of)
     event = F.struct("seq", "op", "value")
     lease = F.struct("seq", "op", "exp_us")
-    known = ops.filter(F.col("op").isin("SET", "DEL", "EXPIRE", "PERSIST"))
-    last = known.groupBy("key").agg(
+    last = known(ops).groupBy("key").agg(
         F.max(F.when(F.col("op").isin("SET", "DEL") | past, event)).alias("e"),
         F.max(F.when(F.col("op") != "SET", lease)).alias("t"),
         F.max("seq").alias("last_seq"),
@@ -43,8 +50,12 @@ def live(ops: DataFrame, as_of: int) -> DataFrame:
     """Time-ordered state of (seq, ts_us, op, key, value, exp_us).
 
     Held expiries that are due are carried out before each operation and once
-    more at ``as_of``.  Rows stream through tasks sorted by key and seq; a task
-    holds one key's state.
+    more at ``as_of``.  What doesn't count in ``replay`` doesn't here.
+
+    Whether an expiry counts depends on whether the key is there, which depends
+    on the expiries that counted before: a chain in order of the log that no
+    aggregate or window has.  So rows stream through tasks sorted by key and
+    seq, and a task holds one key's state; one key's operations are one task.
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +89,7 @@ def live(ops: DataFrame, as_of: int) -> DataFrame:
         emit()
         yield _kv_frame(out)
 
-    rows = ops.filter(F.col("op").isin("SET", "DEL", "EXPIRE", "PERSIST")).select("key", "seq", "ts_us", "op", "value", "exp_us")
+    rows = known(ops).select("key", "seq", "ts_us", "op", "value", "exp_us")
     return rows.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(fold, model.KV)
 
 

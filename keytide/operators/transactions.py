@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 MARKERS = ("MULTI", "EXEC", "DISCARD")
 
 
-def resolve(cmds: DataFrame) -> DataFrame:
+def resolve(cmds: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(conn, seq, cmd, tx, status, outcome, exec_seq, position) of commands
-    (conn, seq, cmd).
+    (conn, seq, cmd), with their columns ``carry``.
 
     status is what the command itself is told; outcome is EXEC, DISCARD or
     LOST (the connection ended) for queued commands, RUN for those outside a
@@ -20,7 +20,7 @@ def resolve(cmds: DataFrame) -> DataFrame:
     before = Window.partitionBy("conn").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("conn").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     marker = F.when(F.col("cmd").isin(*MARKERS), F.col("cmd"))
-    rows = cmds.select("conn", "seq", F.upper("cmd").alias("cmd")).withColumn("inside", F.coalesce(F.last(marker, ignorenulls=True).over(before) == "MULTI", F.lit(False)))
+    rows = cmds.select("conn", "seq", F.upper("cmd").alias("cmd"), *carry).withColumn("inside", F.coalesce(F.last(marker, ignorenulls=True).over(before) == "MULTI", F.lit(False)))
     rows = rows.withColumn("tx_no", F.sum(((F.col("cmd") == "MULTI") & ~F.col("inside")).cast("bigint")).over(upto))
     per = Window.partitionBy("conn", "tx_no")
     ends = F.col("cmd").isin("EXEC", "DISCARD") & F.col("inside")
@@ -40,7 +40,7 @@ def resolve(cmds: DataFrame) -> DataFrame:
     done = (outcome == "RUN") | (outcome == "EXEC")
     return rows.withColumn("position", position).select(
         "conn", "seq", "cmd", F.when(F.col("inside") | (F.col("cmd") == "MULTI"), F.col("tx_no")).alias("tx"), status.alias("status"), outcome.alias("outcome"),
-        F.when(done, F.when(queued, F.col("end.seq")).otherwise(F.col("seq"))).alias("exec_seq"), F.when(done, F.when(queued, F.col("position")).otherwise(F.lit(0))).cast("bigint").alias("position"),
+        F.when(done, F.when(queued, F.col("end.seq")).otherwise(F.col("seq"))).alias("exec_seq"), F.when(done, F.when(queued, F.col("position")).otherwise(F.lit(0))).cast("bigint").alias("position"), *carry,
     )
 
 

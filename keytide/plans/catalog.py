@@ -8,7 +8,6 @@ as subscriptions and messages, conversations as client connections.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +33,10 @@ def query(sql: str | None = None):
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, as a plain path."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base.removeprefix("file://").removeprefix("file:"), f"keytide-{uuid.uuid4().hex}")
+    """A new folder that driver and executors share, as a plain path; where
+    ``spark.checkpoint.dir`` isn't set, as in tests, one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return os.path.join(wal.local_path(base), f"keytide-{uuid.uuid4().hex}")
 
 
 # ---------------------------------------------------------------- key state
@@ -146,13 +146,62 @@ def kv_get_at_operation(spark, sf_dir):
     return state.at_operation(ops, ops.filter("op = 'EXPIRE'").select("seq", "key"))
 
 
-@query()
+SESSION = ("SET", "GET", "TTL", "DEL", "EXPIRE", "PERSIST", "DBSIZE", "PING", "nosuch", "SUBSCRIBE", "UNSUBSCRIBE", "PUBLISH", "CLUSTER", "MIGRATE", "PSYNC", "WASM.LIST", "WASM.INFO")
+SESSION_SQL = (
+    "WITH RECURSIVE "
+    + OPS_SQL
+    + """,
+c AS (SELECT seq, conn, ts_us, key, value, seq % 17 AS k, 'ch' || (seq % 3) AS channel FROM ops),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM c WHERE k <= 5),
+f AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS conn, NULL::BIGINT AS seq, NULL::VARCHAR AS value, NULL::BIGINT AS exp, NULL::VARCHAR AS reply, 0 AS delta FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.key, r.n, r.conn, r.seq,
+    CASE WHEN r.k = 0 THEN r.value WHEN r.k = 3 OR (r.k = 1 AND f.exp <= r.ts_us) THEN NULL ELSE f.value END,
+    CASE WHEN r.k = 0 AND r.seq % 2 = 0 THEN r.ts_us + 7200000000 WHEN r.k IN (3, 5) OR (r.k = 1 AND f.exp <= r.ts_us) THEN NULL
+         WHEN r.k = 4 AND f.value IS NOT NULL THEN r.ts_us + 3600000000 ELSE f.exp END,
+    CASE r.k WHEN 0 THEN '+OK' WHEN 1 THEN CASE WHEN f.value IS NULL OR f.exp <= r.ts_us THEN '$-1' ELSE '$' || f.value END
+      WHEN 2 THEN CASE WHEN f.value IS NULL THEN ':-2' WHEN f.exp IS NULL THEN ':-1' ELSE ':' || (greatest(f.exp - r.ts_us, 0) // 1000000) END
+      WHEN 3 THEN CASE WHEN f.value IS NULL THEN ':0' ELSE ':1' END WHEN 4 THEN CASE WHEN f.value IS NULL THEN ':0' ELSE ':1' END
+      ELSE CASE WHEN f.exp IS NULL THEN ':0' ELSE ':1' END END,
+    CASE WHEN r.k = 0 AND f.value IS NULL THEN 1 WHEN (r.k = 3 OR (r.k = 1 AND f.exp <= r.ts_us)) AND f.value IS NOT NULL THEN -1 ELSE 0 END
+  FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1),
+sizes AS (SELECT c.seq, c.conn, c.k, sum(coalesce(f.delta, 0)) OVER (ORDER BY c.seq) AS held FROM c LEFT JOIN f ON f.seq = c.seq),
+l AS (SELECT seq, conn, channel, k = 9 AS j, coalesce(lag(k = 9) OVER (PARTITION BY conn, channel ORDER BY seq), FALSE) AS was FROM c WHERE k IN (9, 10)),
+d AS (SELECT seq, conn, channel, CASE WHEN j THEN 1 ELSE -1 END AS delta FROM l WHERE j <> was),
+told AS (SELECT c.conn, c.seq, '*3 $subscribe $' || c.channel || ' :' || (SELECT coalesce(sum(delta), 0) FROM d WHERE d.conn = c.conn AND d.seq <= c.seq) AS reply FROM c WHERE k = 9
+  UNION ALL SELECT c.conn, c.seq, ':' || (SELECT coalesce(sum(delta), 0) FROM d WHERE d.channel = c.channel AND d.seq < c.seq) FROM c WHERE k = 11)
+SELECT conn, seq, reply FROM f WHERE n > 0 UNION ALL SELECT conn, seq, ':' || held FROM sizes WHERE k = 6 UNION ALL SELECT * FROM told
+UNION ALL SELECT conn, seq, CASE k WHEN 7 THEN '+PONG' WHEN 8 THEN '-ERR unknown command ''NOSUCH''' WHEN 10 THEN '+OK' WHEN 15 THEN '*0' WHEN 16 THEN '-ERR module ''' || key || ''' not found' ELSE '-ERR cluster mode is not enabled' END FROM c WHERE k IN (7, 8, 10, 12, 13, 14, 15, 16)"""
+)
+
+
+def _commands(spark, sf_dir) -> DataFrame:
+    """A client session made of the events: every command in turn."""
+    ops = model.ops_from_events(spark, sf_dir)
+    cmd = F.element_at(F.array(*map(F.lit, SESSION)), (F.col("seq") % len(SESSION) + 1).cast("int"))
+    channel = F.concat(F.lit("ch"), (F.col("seq") % 3).cast("string"))
+    timed = F.when(F.col("seq") % 2 == 0, F.array("key", "value", F.lit("ex"), F.lit("7200"))).otherwise(F.array("key", "value"))
+    args = F.when(cmd == "EXPIRE", F.array("key", F.lit("3600"))).when(cmd == "SET", timed).when(cmd.isin("SUBSCRIBE", "UNSUBSCRIBE"), F.array(channel)).when(cmd == "PUBLISH", F.array(channel, "value")).otherwise(F.array("key"))
+    return ops.select("conn", "seq", "ts_us", cmd.alias("cmd"), args.alias("args"))
+
+
+@query(SESSION_SQL)
 def command_replies(spark, sf_dir):
-    """Replies to a client session made of the events; see the tests."""
+    """One reply to each command of a session."""
+    return commands.replies(_commands(spark, sf_dir))
+
+
+@query("SELECT count(*) AS commands, count(*) AS replies, count(*) FILTER (event_id % 5 = 1 OR event_id % 5 IN (2, 3)) AS told FROM events")
+def session_transactions(spark, sf_dir):
+    """The events as sessions of MULTI, two or more queued commands, EXEC: every
+    command has one reply; see the tests for what they are."""
     ops = model.ops_from_events(spark, sf_dir)
-    cmd = F.element_at(F.array(*map(F.lit, ("SET", "GET", "TTL", "DEL", "EXPIRE", "PERSIST", "DBSIZE", "PING", "nosuch"))), (F.col("seq") % 9 + 1).cast("int"))
-    args = F.when(cmd == "EXPIRE", F.array("key", F.lit("3600"))).when((cmd == "SET") & (F.col("seq") % 2 == 0), F.array("key", "value", F.lit("ex"), F.lit("7200"))).when(cmd == "SET", F.array("key", "value")).otherwise(F.array("key"))
-    return commands.replies(ops.select("conn", "seq", "ts_us", cmd.alias("cmd"), args.alias("args")))
+    k = F.col("seq") % 5
+    cmd = F.when(k == 1, "MULTI").when(k == 4, "EXEC").when(k == 2, "SET").when(k == 3, "GET").otherwise("PING")
+    rows = ops.select(F.floor(F.col("seq") / 5).alias("conn"), "seq", "ts_us", cmd.alias("cmd"), F.when(k == 2, F.array("key", "value")).otherwise(F.array("key")).alias("args"))
+    out = commands.replies(rows)
+    told = F.col("reply").isin("+OK", "+QUEUED")
+    return rows.agg(F.count("*").alias("commands")).crossJoin(out.agg(F.count("*").alias("replies"), F.count(F.when(told, 1)).alias("told")))
 
 
 @query(REPLAY_SQL + " SELECT 'EXPIRE' AS event, key, expires_at_us AS ts_us FROM kv, now WHERE expires_at_us <= as_of + 86400000000")
@@ -391,6 +440,65 @@ def udf_exec(spark, sf_dir):
     return _registry().run(triggers.match(model.ops_from_events(spark, sf_dir), rules))
 
 
+def _tally(host, key):
+    host.set(f"last:{key}", host.get(key) or "")
+    host.tx_begin()
+    host.set(f"twice:{key}", (host.get(f"last:{key}") or "") * 2)
+    host.tx_commit()
+    host.publish("changes", key)
+    return host.now_ms() % 1000
+
+
+def _forget(host, key):
+    host.delete(f"last:{key}")
+    host.tx_begin()
+    host.set(f"lost:{key}", host.get("user:1") or "none")
+    host.publish("changes", f"-{key}")
+
+
+_forget.reads = lambda key: ["user:1"]
+
+
+def _spin(host, key):
+    host.set(f"spun:{key}", "1")
+    while True:
+        pass
+
+
+EFFECTS = [("trigger_1", 1, "SET", "user:?", "e", "tally"), ("trigger_2", 2, "DEL", "user:[0-4]*", "e", "forget"), ("trigger_3", 3, "DEL", "user:7", "e", "spin"), ("trigger_4", 4, "DEL", "user:7", "e", "nosuch")]
+EFFECTS_SQL = """t AS (SELECT * FROM ops WHERE op = 'SET' AND regexp_full_match(key, 'user:[^/]')), g AS (SELECT * FROM ops WHERE op = 'DEL' AND regexp_full_match(key, 'user:[0-4][^/]*')), s AS (SELECT * FROM ops WHERE op = 'DEL' AND key = 'user:7')"""
+
+
+def _effect_calls(spark, sf_dir) -> tuple[triggers.Registry, DataFrame]:
+    ops = model.ops_from_events(spark, sf_dir)
+    registry = triggers.Registry(clock=lambda: 1_700_000_000_000_000)
+    registry.load("e", {"tally": _tally, "forget": _forget, "spin": _spin})
+    return registry, registry.call(triggers.match(ops, spark.createDataFrame(EFFECTS, model.TRIGGERS)), ops)
+
+
+@query("WITH " + OPS_SQL + ", " + EFFECTS_SQL + """
+SELECT seq, 1001 AS sub_seq, 'SET' AS op, 'last:' || key AS key, value, NULL AS channel FROM t UNION ALL SELECT seq, 1003, 'SET', 'twice:' || key, value || value, NULL FROM t UNION ALL SELECT seq, 1005, 'PUBLISH', NULL, key, 'changes' FROM t
+UNION ALL SELECT seq, 2001, 'DEL', 'last:' || key, NULL, NULL FROM g UNION ALL SELECT seq, 2004, 'PUBLISH', NULL, '-' || key, 'changes' FROM g UNION ALL SELECT seq, 3001, 'SET', 'spun:' || key, '1', NULL FROM s""")
+def udf_effects(spark, sf_dir):
+    """Writes, deletes and messages of functions, committed or not, cut short or not."""
+    return triggers.effects(_effect_calls(spark, sf_dir)[1])
+
+
+@query("WITH " + OPS_SQL + ", " + EFFECTS_SQL + """
+SELECT 'tally' AS func, count(*) AS n, sum(ts_us // 1000 % 1000)::BIGINT AS total, NULL AS error FROM t HAVING count(*) > 0 UNION ALL SELECT 'forget', count(*), NULL, NULL FROM g HAVING count(*) > 0
+UNION ALL SELECT 'spin', count(*), NULL, 'DeadlineError: more than 10 ms' FROM s HAVING count(*) > 0 UNION ALL SELECT 'nosuch', count(*), NULL, 'KeyError: (''e'', ''nosuch'')' FROM s HAVING count(*) > 0""")
+def udf_results(spark, sf_dir):
+    return _effect_calls(spark, sf_dir)[1].groupBy("func", "error").agg(F.count("*").alias("n"), F.sum("result").alias("total"))
+
+
+@query("WITH " + OPS_SQL + ", " + EFFECTS_SQL + " SELECT 'e' AS name, 1700000000000000 AS loaded_at_us, (SELECT count(*) FROM t) + (SELECT count(*) FROM g) + (SELECT count(*) FROM s) AS exec_count")
+def udf_counts(spark, sf_dir):
+    """A module's count of calls after its triggers fired."""
+    registry, calls = _effect_calls(spark, sf_dir)
+    registry.record(calls)
+    return registry.list(spark)
+
+
 @query("SELECT * FROM (VALUES ('m', 1700000000000000, 0::BIGINT), ('other', 1700000000000000, 1::BIGINT)) v(name, loaded_at_us, exec_count)")
 def module_list(spark, sf_dir):
     return _registry().list(spark)
@@ -523,6 +631,31 @@ def wal_compact(spark, sf_dir):
     return state.replay(wal.read_ops(spark, folder), as_of).drop("last_seq")
 
 
+@query(REPLAY_SQL + " SELECT key, value, expires_at_us FROM kv")
+def wal_append_twice(spark, sf_dir):
+    """The log in two appends of different numbers of files."""
+    ops, folder = model.ops_from_events(spark, sf_dir), work_dir(spark)
+    half = ops.agg(F.max("seq")).first()[0] // 2
+    wal.write_ops(ops.filter(F.col("seq") <= half), folder, files=5)
+    wal.write_ops(ops.filter(F.col("seq") > half), folder, files=2)
+    return state.replay(wal.read_ops(spark, folder), model.last_instant(ops)).drop("last_seq")
+
+
+@query(REPLAY_SQL + " SELECT key, value, expires_at_us FROM kv")
+def wal_rotate(spark, sf_dir):
+    """A snapshot of half of the log in several files, and what was appended since."""
+    ops, folder = model.ops_from_events(spark, sf_dir), work_dir(spark)
+    as_of, half = model.last_instant(ops), ops.agg(F.max("seq")).first()[0] // 2
+    wal.write_ops(ops.filter(F.col("seq") <= half), folder, files=3)
+    kept = state.compact(wal.read_ops(spark, folder), 1 << 62, as_of).withColumn("seq", F.col("seq") * 2 + F.col("sub"))
+    closed = [p for p in wal.rotate(folder)]
+    wal.write_ops(kept, folder, snapshot=True, files=3)
+    wal.write_ops(ops.filter(F.col("seq") > half), folder, files=2)
+    for p in closed:
+        os.unlink(p)
+    return state.replay(wal.read_ops(spark, folder), as_of).drop("last_seq")
+
+
 @query("WITH " + OPS_SQL + " SELECT seq, 'SET ' || key || ' ' || value AS line, CAST(NULL AS VARCHAR) AS err FROM ops WHERE op = 'SET'")
 def resp_roundtrip(spark, sf_dir):
     ops = model.ops_from_events(spark, sf_dir).filter("op = 'SET'")

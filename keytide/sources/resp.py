@@ -6,6 +6,7 @@ Values are (typ, str, num, items): ``+`` simple, ``-`` error, ``:`` integer,
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 MAX_DEPTH = 8
 MAX_ITEMS = 1 << 20
+NUMBER = re.compile(rb"[+-]?[0-9]{1,40}")
 
 
 class ProtocolError(ValueError):
@@ -51,10 +53,10 @@ def _line(raw: bytes, at: int) -> tuple[bytes, int]:
 
 
 def _number(text: bytes) -> int:
-    try:
+    """Digits and a sign, nothing else, within 64 bits."""
+    if NUMBER.fullmatch(text) and -(1 << 63) <= int(text) < 1 << 63:
         return int(text)
-    except ValueError:
-        raise ProtocolError(f"not a number: {text!r}") from None
+    raise ProtocolError(f"not a number: {text!r}")
 
 
 def parse(raw: bytes, at: int = 0, depth: int = 0) -> tuple[Any, int]:

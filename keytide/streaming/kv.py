@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from keytide.operators import state
+
 
 def read_log(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int | None = None) -> DataFrame:
     """A folder of Parquet log files as a stream."""
@@ -70,7 +72,7 @@ class KeyState(StatefulProcessor):
             value, exp = self.held.get()
             exists = True
         out = []
-        batch = pd.concat(list(rows)).sort_values("seq")
+        batch = pd.concat(list(rows)).sort_values("seq")  # the group's rows of one trigger
         for seq, ts, op, v, e in zip(*(batch[c].tolist() for c in ("seq", "ts_us", "op", "value", "exp_us"))):
             if exists and exp is not None and exp <= ts:
                 value, exp, exists = None, None, False
@@ -99,5 +101,6 @@ STATE = "key string, seq bigint, op string, value string, expires_at_us bigint,
 
 
 def live_states(ops: DataFrame) -> DataFrame:
-    """The state after every operation of a stream (RocksDB state store)."""
-    return ops.groupBy("key").transformWithStateInPandas(KeyState(), outputStructType=STATE, outputMode="Append", timeMode="None")
+    """The state after every operation of a stream (RocksDB state store).
+    Operations that don't count in a replay give no row."""
+    return state.known(ops).groupBy("key").transformWithStateInPandas(KeyState(), outputStructType=STATE, outputMode="Append", timeMode="None")
