@@ -288,7 +288,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def work(batches):
         bpe = tokenizer(path)
-        for b in text_slices(batches, 1):
+        for b in text_slices(batches, 1, common.ARRAY_BYTES):
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(*bpe.encode_flat(b.column(1)))], ["doc_id", "ids"])
 
     rows = common.clean_names(docs, {"doc_id": id_col, "text": text_col})
@@ -305,7 +305,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def work(batches):
         bpe = tokenizer(path)
-        for b in text_slices(batches, 1):
+        for b in text_slices(batches, 1, common.ARRAY_BYTES):
             ids = b.column(1)
             ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
             text = bpe.decode_flat(pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64), ends)
@@ -327,7 +327,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def work(batches):
         bpe = tokenizer(path)
-        for b in text_slices(batches, 1):
+        for b in text_slices(batches, 1, common.ARRAY_BYTES):
             ids, size = bpe.encode_flat(b.column(1))
             ends = np.cumsum(size)
             ids = ids.astype(np.int64)

@@ -149,7 +149,9 @@ def with_ids(rows: DataFrame, ids: DataFrame, key: str, count: int) -> DataFrame
 
 #: Rows and bytes of whole texts that an operator works on at once, about.
 TEXT_ROWS = 2000
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
+#: Where whole slices are worked on as arrays and not as Python strings.
+ARRAY_BYTES = 4 << 20
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], at: int, most: int | None = None) -> Iterator[pa.RecordBatch]:

@@ -116,7 +116,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             ids, sizes, held, vocab, count, seq = [], [], [], {}, 0, seq + 1
             return out
 
-        for b in text_slices(batches, 1, min(common.TEXT_BYTES, 8 * BLOCK_WORDS)):
+        for b in text_slices(batches, 1, min(common.ARRAY_BYTES, 8 * BLOCK_WORDS)):
             numbers, size = number_words(b.column(1), vocab)
             ids.append(b.column(0).to_pylist())
             sizes.append(size)

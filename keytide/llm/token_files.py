@@ -330,7 +330,7 @@ def segments(docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: st
             names, sizes, held, count, seg, before = [], [], [], 0, seg + 1, before + count
             return out
 
-        for b in text_slices(batches, 1):
+        for b in text_slices(batches, 1, common.ARRAY_BYTES):
             name = b.column(0).to_numpy(zero_copy_only=False)
             ids, size = enc.encode_flat(b.column(1))
             size = size + more
