@@ -136,3 +136,48 @@ def test_stream_of_states(spark, tmp_path):
     last = {r.key: r.e for r in out.groupBy("key").agg(F.max(F.struct("seq", "exists", "value", "expires_at_us")).alias("e")).collect()}
     got = {k: (e.value, e.expires_at_us) for k, e in last.items() if e.exists and (e.expires_at_us is None or e.expires_at_us > 400)}
     assert got == live(ops, 400)
+
+
+def test_functions_read_as_of_their_operation(spark):
+    def reader(host, key):
+        host.tx_begin()
+        host.set("sum", (host.get("a") or "-") + (host.get("b") or "-"))
+        assert host.get("sum") is None
+        host.tx_commit()
+        return len(host.get("sum"))
+
+    reader.reads = lambda key: ["a", "b"]
+
+    def sleeper(host, key):
+        import time
+
+        host.publish("c", "before")
+        time.sleep(30)
+
+    ops = spark.createDataFrame([(1, 10, "SET", "a", "1"), (2, 20, "SET", "x", "?"), (3, 30, "SET", "b", "22"), (4, 40, "DEL", "a", None), (5, 50, "SET", "x", "?"), (6, None, "DEL", "y", None)], "seq bigint, ts_us bigint, op string, key string, value string")
+    reg = triggers.Registry()
+    reg.load("m", {"r": reader, "s": sleeper})
+    reg.add_trigger("SET", "x", "m", "r")
+    reg.add_trigger("DEL", "y", "m", "s")
+    calls = reg.call(triggers.match(ops, reg.trigger_table(spark)), ops, deadline_ms=5).cache()
+    assert {(r.seq, r.result, (r.error or "")[:13]) for r in calls.collect()} == {(2, 2, ""), (5, 3, ""), (6, None, "DeadlineError")}
+    assert {(r.seq, r.sub_seq, r.op, r.key, r.value, r.channel) for r in triggers.effects(calls).collect()} == {(2, 1002, "SET", "sum", "1-", None), (5, 1002, "SET", "sum", "-22", None), (6, 2001, "PUBLISH", None, "before", "c")}
+    reg.record(calls)
+    assert reg.modules["m"].exec_count == 3
+
+
+def test_node_tables_are_counted_before_they_are_broadcast(spark, monkeypatch):
+    import pytest
+
+    with pytest.raises(ValueError, match="more than 3"):
+        cluster.few(spark.range(4), 3)
+    assert cluster.few(spark.range(3), 3).count() == 3
+
+
+def test_setslot_replies(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    owners = spark.createDataFrame([(1, "a"), (2, "b")], "slot int, id string")
+    log = [(1, 1, "migrating", "b", "+OK"), (2, 2, "MIGRATING", "a", "-ERR I'm not the owner of this slot"), (3, 1, "NODE", "b", "+OK"), (4, 1, "MIGRATING", "b", "-ERR I'm not the owner of this slot"), (5, 2, "NODE", "z", "-ERR unknown node z"), (6, 99999, "NODE", "a", "-ERR invalid slot number"), (7, None, "NODE", "a", "-ERR invalid slot number"), (8, 2, "IMPORTING", None, "-ERR missing node-id for IMPORTING"), (9, 2, "NODE", "a", "+OK"), (10, 2, "MIGRATING", "b", "+OK")]
+    df = spark.createDataFrame([r[:4] for r in log], "seq bigint, slot int, action string, node string")
+    assert {r.seq: r.reply for r in cluster.setslot_replies(owners, df, nodes, "a").collect()} == {r[0]: r[4] for r in log}
+    assert cluster.my_id("a") == "$a"

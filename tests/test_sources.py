@@ -111,3 +111,42 @@ def test_registry_files(spark, tmp_path):
     assert [r.id for r in registry_files.read_triggers(spark, str(tmp_path / "t.json")).collect()] == ["trigger_1", "trigger_2"]
     with pytest.raises(PermissionError):
         back.load_file("x", "/etc/hosts", str(tmp_path))
+
+
+def test_later_appends_are_replayed_later(spark, tmp_path):
+    folder, schema = f"file://{tmp_path}/log", "seq bigint, op string, key string, value string, exp_us bigint"
+    for n, files in enumerate((4, 1, 3, 12)):
+        rows = [(i, "SET", f"k{i % 5}", f"v{n}", None) for i in range(40)]
+        wal.write_ops(spark.createDataFrame(rows, schema), folder, files=files)
+        assert {r.value for r in state.replay(wal.read_ops(spark, folder), 0).collect()} == {f"v{n}"}
+    wal.compact(spark, folder, 0)
+    assert [r.value for r in state.replay(wal.read_ops(spark, folder), 0).collect()] == ["v3"] * 5
+
+
+def test_snapshots_in_parts(spark, tmp_path, monkeypatch):
+    folder, schema = str(tmp_path / "log"), "seq bigint, op string, key string, value string, exp_us bigint"
+    write = lambda v: wal.write_ops(spark.createDataFrame([(i, "SET", f"k{i}", v, None) for i in range(50)], schema), folder, files=2)
+    got = lambda: {(r.key, r.value) for r in state.replay(wal.read_ops(spark, folder), 0).collect()}
+    for n, size in enumerate((100, 1 << 20, 100, 100)):  # several files, one, several
+        write(f"v{n}")
+        monkeypatch.setattr(wal, "SNAPSHOT_BYTES", size)
+        wal.compact(spark, folder, 0)
+        names = sorted(os.listdir(folder))
+        assert (names == ["snapshot.wal"]) == (size > 100) and not [x for x in names if x.startswith("wal_")]
+        assert got() == {(f"k{i}", f"v{n}") for i in range(50)}
+    open(f"{folder}/snapshot_00000099_000000.wal", "wb").close()  # of a job that never committed
+    assert len(got()) == 50
+
+
+def test_other_file_systems_are_an_error():
+    for folder in ("hdfs://host/x", "s3a://bucket/x"):
+        with pytest.raises(ValueError, match="mount"):
+            wal.files_in_order(folder)
+    assert wal.local_path("file:///a/b") == wal.local_path("file:/a/b") == wal.local_path("/a/b") == "/a/b"
+
+
+def test_numbers_of_the_protocol():
+    assert resp.parse(b":+12\r\n")[0] == (":", 12)
+    for raw in (b":1_0\r\n", b": 1\r\n", b":\r\n", b"$ 1\r\na\r\n", b":99999999999999999999\r\n", b":0x1\r\n"):
+        with pytest.raises(resp.ProtocolError):
+            resp.parse(raw)

@@ -139,3 +139,90 @@ def test_replica(spark):
 def test_empty_log(spark):
     df = frame(spark, [])
     assert state.replay(df, 0).count() == 0 and state.live(df, 0).count() == 0
+
+
+def test_expiry_without_an_instant_counts_for_nothing(spark):
+    ops = [{"seq": i, "ts_us": i, "op": op, "key": k, "value": "v", "exp_us": e} for i, (op, k, e) in enumerate([("SET", "k", None), ("EXPIRE", "k", 90), ("EXPIRE", "k", None), ("SET", None, None), ("NOSUCH", "k", None)])]
+    df = frame(spark, ops)
+    assert held(state.replay(df, 10)) == {"k": ("v", 90)} == held(state.live(df, 10))
+
+
+def test_sessions_with_transactions_and_channels(spark):
+    rng = random.Random(17)
+    cmds = []
+    for i in range(900):
+        cmd = rng.choice(["SET", "GET", "DEL", "TTL", "EXPIRE", "MULTI", "EXEC", "EXEC", "DISCARD", "SUBSCRIBE", "UNSUBSCRIBE", "PUBLISH", "DBSIZE", "PING", "nosuch", None, "CLUSTER", "MIGRATE", "PSYNC", "WASM.LIST", "WASM.INFO", "WASM.TRIGGER"])
+        args = [f"k{rng.randrange(5)}"]
+        if cmd == "SET":
+            args = [*args, f"v{i}"]
+        elif cmd == "EXPIRE":
+            args = [*args, "2"]
+        elif cmd in ("SUBSCRIBE", "UNSUBSCRIBE"):
+            args = [f"c{rng.randrange(3)}" for _ in range(rng.randrange(0 if cmd == "UNSUBSCRIBE" else 1, 3))]
+        elif cmd == "PUBLISH":
+            args = [f"c{rng.randrange(3)}", "m"]
+        cmds.append({"conn": rng.randrange(4), "seq": i, "ts_us": i * 400_000, "cmd": cmd, "args": args})
+    df = spark.createDataFrame([tuple(c[k] for k in ("conn", "seq", "ts_us", "cmd", "args")) for c in cmds], model.CMDS)
+    got = [(r.conn, r.seq, r.reply) for r in commands.replies(df).collect()]
+    assert len(got) == len(cmds)
+
+    order, told, queue = [], {}, {}  # what takes effect, in order
+    for c in cmds:
+        at, cmd = (c["conn"], c["seq"]), c["cmd"] and c["cmd"].upper()
+        if cmd is None:
+            told[at] = "-ERR invalid command"
+        elif cmd in ("MULTI", "EXEC", "DISCARD"):
+            inside = c["conn"] in queue
+            if cmd == "MULTI":
+                told[at] = "-ERR MULTI calls can not be nested" if inside else "+OK"
+                queue.setdefault(c["conn"], [])
+            elif not inside:
+                told[at] = f"-ERR {cmd} without MULTI"
+            else:
+                held_back = queue.pop(c["conn"])
+                told[at] = "+OK" if cmd == "DISCARD" else [(q["conn"], q["seq"]) for q in held_back]
+                order += [{**q, "ts_us": c["ts_us"]} for q in held_back] if cmd == "EXEC" else []
+        elif c["conn"] in queue:
+            queue[c["conn"]].append(c)
+            told[at] = "+QUEUED"
+        else:
+            order.append(c)
+    keyed = [{**c, "was": c["seq"], "seq": i} for i, c in enumerate(order)]
+    answers = {(c["conn"], c["was"]): r for c, r in zip(keyed, session(keyed).values())}
+    on = set()
+    for c in order:
+        at, cmd, args = (c["conn"], c["seq"]), c["cmd"].upper(), c["args"]
+        if cmd == "SUBSCRIBE":
+            parts = []
+            for ch in args:
+                on.add((c["conn"], ch))
+                parts.append(f"*3 $subscribe ${ch} :{sum(k == c['conn'] for k, _ in on)}")
+            answers[at] = " ".join(parts)
+        elif cmd == "UNSUBSCRIBE":
+            on -= {x for x in on if x[0] == c["conn"] and (not args or x[1] in args)}
+            answers[at] = "+OK"
+        elif cmd == "PUBLISH":
+            answers[at] = f":{sum(ch == args[0] for _, ch in on)}"
+        elif cmd in ("CLUSTER", "MIGRATE", "PSYNC"):
+            answers[at] = "-ERR cluster mode is not enabled"
+        elif cmd.startswith("WASM"):
+            answers[at] = {"WASM.LIST": "*0", "WASM.INFO": f"-ERR module '{args[0]}' not found", "WASM.TRIGGER": "-ERR usage: WASM.TRIGGER <SET|DEL> <pattern> <module> <func>"}[cmd]
+    want = {}
+    for at, r in told.items():
+        want[at] = " ".join([f"*{len(r)}", *(answers[q] for q in r)]) if isinstance(r, list) else r
+    want |= {at: r for at, r in answers.items() if at not in want}
+    assert {(c, s): r for c, s, r in got} == want
+
+
+def test_administration_in_order(spark):
+    from keytide.operators import triggers
+
+    reg = triggers.Registry(clock=lambda: 0)
+    steps = [("WASM.LOAD", ["m", "7"]), ("WASM.EXEC", ["m", "f"]), ("WASM.EXEC", ["m", "g"]), ("WASM.LIST", []), ("WASM.INFO", ["m"]), ("WASM.TRIGGER", ["set", "a*", "m", "f"]), ("WASM.TRIGGERS", []), ("WASM.UNTRIGGER", ["trigger_1"]), ("WASM.UNTRIGGER", ["trigger_1"]), ("WASM.DROP", ["m"]), ("WASM.DROP", ["m"]), ("WASM.LOADFILE", ["m", "/x"]), ("CLUSTER", ["MYID"])]
+    df = spark.createDataFrame([(1, i, i, c, a) for i, (c, a) in enumerate(steps)], model.CMDS)
+
+    def admin(cmd, args):
+        return "$me" if cmd == "CLUSTER" else reg.admin(cmd, args, loader=lambda name, text: {"f": lambda: int(text)})
+
+    got = [r.reply for r in commands.replies(df, admin).orderBy("seq").collect()]
+    assert got == ["+OK", ":7", "-ERR function 'g' not found in module 'm'", "*1 $m", "$module:m loaded_at:1970-01-01T00:00:00Z exec_count:1", "+trigger_1", "*1 $trigger_1 SET a* m.f", "+OK", "-ERR trigger not found", "+OK", "-ERR module 'm' not found", "-ERR modules can't be loaded here", "$me"]
