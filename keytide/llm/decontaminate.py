@@ -9,23 +9,32 @@ so one threshold serves all items.
 Retrieval follows block-max WAND on batches: items are sorted so that alike
 ones share a block, each term keeps its largest weight per block, and a block
 is opened for a passage only if the maxima of the passage's terms in it reach
-the threshold; a coarser level of super-blocks is tested first.  Inside opened
-blocks scores are exact.  Everything at or over the threshold is then
-verified: word shingles of the item as a whole in the passage.
+the threshold; a coarser level of super-blocks is tested first.  Many passages
+are searched at once, so no pivot moves along sorted lists: the bounds of all
+blocks come from one sum.  Inside opened blocks scores are exact.  Everything at
+or over the threshold is then verified: word shingles of the item as a whole in
+the passage, with the shares of its question and of its answer beside it.
+
+Items of like length go to shards of bounded size, each an index of its own,
+that are broadcast; so there may be any number of items of any length.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .common import text_slices
+from .lm_score import _mix
+from .substring_dedup import GOLDEN, _word_hash
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -34,8 +43,9 @@ OVERLAP = 0.8
 MIN_STRIDE = 64
 BLOCK = 4
 SUPER = 8  # blocks in a super-block
-#: The index goes to every executor; a larger benchmark is an error that says so.
-MAX_ITEMS = 200_000
+#: Bytes of items' texts that make a shard, and shards that a worker keeps in memory.
+SHARD_BYTES = 8 << 20
+RESIDENT = 4
 WORD = re.compile(r"\w+")
 
 
@@ -55,10 +65,39 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return (words(" ".join(parts[:-1])), words(parts[-1])) if len(parts) > 1 else (words(text), [])
 
 
+def run_hashes(ws: list[str], k: int) -> np.ndarray:
+    """The hash of every run of ``k`` words."""
+    h = np.fromiter(map(_word_hash, ws), np.uint64, len(ws))
+    n = len(ws) - k + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for i in range(k if n > 0 else 0):
+        out = _mix(out * GOLDEN + h[i : i + n] + np.uint64(1))
+    return out
+
+
+@dataclass
+class Part:
+    """The distinct shingles of an item or a part of it: runs of ``k`` words."""
+
+    k: int
+    hashes: np.ndarray
+
+    @classmethod
+    def of(cls, ws: list[str]) -> Part | None:
+        k = min(SHINGLE, len(ws))
+        return cls(k, np.unique(run_hashes(ws, k))) if ws else None
+
+    def share(self, ws: list[str]) -> float:
+        """How much of it is among the runs of ``ws``."""
+        return float(np.isin(self.hashes, run_hashes(ws, self.k)).mean())
+
+
 @dataclass
 class Item:
     item_id: object
-    all: set
+    whole: Part
+    question: Part | None
+    answer: Part | None
 
 
 class Index:
@@ -73,7 +112,7 @@ class Index:
                 df[w] = df.get(w, 0) + 1
         # alike items share their rarest shared word, so sort by it
         rows.sort(key=lambda r: (min(((df[w], w) for w in set(r[1]) if df[w] > 1), default=(0, "")), str(r[0])))
-        self.items = [Item(i, shingles(ws)) for i, ws, _ in rows]
+        self.items = [Item(i, Part.of(ws), *map(Part.of, question_answer(t))) for i, ws, t in rows]
         self.vocab = {w: k for k, w in enumerate(sorted(df))}
         n, self.longest = len(rows), max((len(ws) for _, ws, _ in rows), default=0)
         mean = sum(len(ws) for _, ws, _ in rows) / max(1, n)
@@ -190,57 +229,90 @@ class Searcher:
         return key // max(1, len(self.index.vocab)), key % max(1, len(self.index.vocab)), where
 
     def find(self, texts: list[str | None]) -> list[list[dict]]:
-        """Per text the items in it: item_id, score, overlap; best passage each."""
+        """Per text the items in it: item_id, score, overlap, question, answer;
+        best passage each.  Items that share an id are items of their own."""
         ws = [words(t) for t in texts]
         passage, term, where = self.passages(ws)
-        out: list[dict[object, dict]] = [{} for _ in texts]
+        out: list[dict[int, dict]] = [{} for _ in texts]
         for p, k, score in zip(*(x.tolist() for x in self.index.search(passage, term, self.threshold))):
             d, first = where[p]
-            item = self.index.items[k]
-            got = self.verify(item, ws[d][first : first + 2 * self.stride])
-            if got is not None and got > out[d].get(item.item_id, {"overlap": -1})["overlap"]:
-                out[d][item.item_id] = {"item_id": item.item_id, "score": float(score), "overlap": got}
-        return [sorted(x.values(), key=lambda r: str(r["item_id"])) for x in out]
-
-    def verify(self, item: Item, ws: list[str]) -> float | None:
-        """The share of the item's shingles in the passage, if high enough.  Its
-        question and its answer have no veto: one word may be all of either."""
-        k = max(map(len, item.all))
-        whole = len(item.all & {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}) / len(item.all)
-        return whole if whole >= self.overlap else None
-
+            got = self.verify(self.index.items[k], ws[d][first : first + 2 * self.stride])
+            if got is not None and got["overlap"] > out[d].get(k, {"overlap": -1})["overlap"]:
+                out[d][k] = {"item_id": self.index.items[k].item_id, "score": float(score), **got}
+        return [list(x.values()) for x in out]
+
+    def verify(self, item: Item, ws: list[str]) -> dict[str, float | None] | None:
+        """The shares of the item's shingles in the passage, if that of the whole
+        is high enough.  Its question and its answer have no veto: one word may
+        be all of either."""
+        whole = item.whole.share(ws)
+        if whole < self.overlap:
+            return None
+        return {"overlap": whole, "question": item.question and item.question.share(ws), "answer": item.answer and item.answer.share(ws)}
+
+
+def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[object, str]]]:
+    """The items with words, in lists of alike length and of about SHARD_BYTES."""
+    held: dict[int, tuple[list, int]] = {}
+    for r in common.clean_names(benchmark, {"item_id": id_col, "text": text_col}).filter("text is not null").toLocalIterator():
+        n = len(words(r.text))
+        if not n:
+            continue
+        kind = (max(n, MIN_STRIDE).bit_length() + 1) // 2
+        rows, size = held.get(kind, ([], 0))
+        rows.append((r.item_id, r.text))
+        held[kind] = rows, size + len(r.text)
+        if held[kind][1] >= SHARD_BYTES:
+            yield held.pop(kind)[0]
+    yield from (rows for rows, _ in held.values())
+
+
+class Finder:
+    """Searches the shards, which executors get as broadcasts, one after another."""
+
+    def __init__(self, benchmark: DataFrame, threshold: float, overlap: float, id_col: str = "item_id", text_col: str = "text"):
+        context = benchmark.sparkSession.sparkContext
+        self.shards = [context.broadcast(Searcher(rows, threshold, overlap)) for rows in shards(benchmark, id_col, text_col)]
 
-def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[object, str]]:
-    """The benchmark's items on the driver: at most MAX_ITEMS, else an error."""
-    rows = common.clean_names(benchmark, {"item_id": id_col, "text": text_col}).filter("text is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"a benchmark of more than {MAX_ITEMS} items must be searched in parts")
-    return [(r.item_id, r.text) for r in rows]
+    def find(self, texts: list[str | None]) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in texts]
+        for shard in self.shards:
+            for mine, found in zip(out, shard.value.find(texts)):
+                mine += found
+            if len(self.shards) > RESIDENT:
+                del shard._value  # it is read again from the executor's disk
+        return [sorted(x, key=lambda r: (str(r["item_id"]), -r["overlap"])) for x in out]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """One row per input row: doc_id, n_items, items array<struct<item_id, score, overlap>>, contaminated.
+    """One row per input row: doc_id, n_items, items array<struct<item_id, score,
+    overlap, question, answer>>, contaminated.
 
     Null and empty texts hold no item, null and empty items are in none; an
-    empty benchmark is in no document.  Repeated rows are judged alike; other
-    columns are ignored.  No row moves between tasks.
+    empty benchmark is in no document.  Item ids may be of any plain type, null
+    or shared: each row of the benchmark is an item.  Repeated rows are judged
+    alike; other columns are ignored; an empty table gives an empty result.  No
+    row moves between tasks.
     """
-    found = Searcher(load_items(benchmark), threshold, overlap)
+    found = Finder(benchmark, threshold, overlap)
+    rows = common.clean_names(docs, {"doc_id": id_col, "text": text_col})
+    item_type, kind = benchmark.schema["item_id"].dataType, rows.schema["doc_id"].dataType.simpleString()
+    numbers = [(n, pa.float64()) for n in ("score", "overlap", "question", "answer")]
+    items = pa.list_(pa.struct([("item_id", to_arrow_type(item_type)), *numbers]))
 
     def work(batches):
         for b in text_slices(batches, 1):
             hits = found.find(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64())])))], ["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, items)], ["doc_id", "items"])
 
-    rows = common.clean_names(docs, {"doc_id": id_col, "text": text_col})
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(work, f"doc_id {kind}, items array<struct<item_id:bigint,score:double,overlap:double>>")
+    out = rows.mapInArrow(work, f"doc_id {kind}, items array<struct<item_id:{item_type.simpleString()},score:double,overlap:double,question:double,answer:double>>")
     return out.select("doc_id", F.size("items").alias("n_items"), "items", (F.size("items") > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold an item; nothing is shuffled."""
-    found, at = Searcher(load_items(benchmark)), docs.columns.index(text_col)
+    """``docs`` without the rows that hold an item, columns unchanged; nothing is
+    shuffled.  Nulls, empty texts and tables, and repeats as in ``contaminated``."""
+    found, at = Finder(benchmark, THRESHOLD, OVERLAP), docs.columns.index(text_col)
 
     def work(batches):
         for b in text_slices(batches, at):

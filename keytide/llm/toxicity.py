@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -101,17 +102,38 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np
 
 
 def sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
-    """(text, toxic) of at most ``bound`` labelled documents, those of least
-    hash; a text counts once, as toxic if any of its labels says so."""
+    """(text, toxic) of at most ``bound`` labelled texts: of labelled ids those of
+    least hash, and of texts that share an id the least.  A text counts once, as
+    toxic if any of its labels says so."""
     one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
-def _starts(words, n: int):
-    """The first ``n`` letters of the words that are longer, marked by a star."""
-    return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+def text_features(text: str | None) -> set[str]:
+    """The words of a text, and the first letters of longer ones, marked by a star."""
+    ws = set(WORD.findall((text or "").lower()))
+    return ws | {w[:n] + "*" for w in ws for n in STEMS if len(w) > n}
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(word, n, t): texts that have each feature, and toxic ones, per slice of
+    the sample; cut as in ``Model.features``."""
+
+    def work(batches):
+        for b in text_slices(batches, 0):
+            n: Counter[str] = Counter()
+            t: Counter[str] = Counter()
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = text_features(text)
+                n.update(found)
+                if toxic > 0:
+                    t.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([t[w] for w in n], pa.int64())], ["word", "n", "t"])
+
+    return rows.select("text", F.col("toxic").cast("int")).mapInArrow(work, "word string, n bigint, t bigint")
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model:
@@ -121,10 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
     if not toxic or toxic == total:
         return Model()
-    words = F.array_distinct(F.split(F.lower("text"), r"(?U)\W+"))
-    starts = [_starts(words, n) for n in STEMS]
-    seen = rows.select("toxic", F.explode(F.array_distinct(F.concat(words, *starts))).alias("word")).filter("word <> ''").groupBy("word")
-    seen = common.stash(seen.agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("t")).filter(F.col("n") >= MIN_TEXTS), "words")
+    seen = _counted(rows).groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("n") >= MIN_TEXTS)
+    seen = common.stash(seen, "words")
 
     def part(a, b):  # a * log(a / b), zero at a = 0
         return F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
@@ -155,7 +175,8 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, expected_severity (0 .. 3), p_toxic, grade, rejected per row.
 
     Null and empty texts have no words and score as such; repeated rows score
-    alike; columns of other names are ignored.
+    alike, null ids are kept; columns of other names are ignored; an empty table
+    gives an empty result.
     """
 
     def work(batches):
@@ -173,7 +194,9 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model rejects; nothing is shuffled."""
+    """``docs`` without the rows that the model rejects, columns unchanged; nothing
+    is shuffled.  Null and empty texts stay; repeated rows go or stay together; an
+    empty table gives an empty result."""
     names = docs.columns
 
     def work(batches):

@@ -89,6 +89,59 @@ def test_toxicity_on_held_out_documents(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if not r.rejected) and "digest" in kept.columns
 
 
+def test_severity_orders_held_out_documents(spark):
+    """Planted grades that the model never sees: more toxic words are more severe."""
+    rng = random.Random(8)
+    plain, bad = [f"word{k}" for k in range(300)], ["nasty", "vilething", "vileness", "vilest", "rotten"]
+    rows, labels, grade = [], [], {}
+    for i in range(700):
+        ws, n = [rng.choice(plain) for _ in range(60)], rng.choice([0, 0, 0, 0, 1, 3, 6, 10])
+        for k in rng.sample(range(60), n):
+            ws[k] = rng.choice(bad)
+        rows.append((i, " ".join(ws)))
+        labels.append((i, int(n > 0)))
+        grade[i] = n
+    docs = documents(spark, rows, extra=False)
+    model = toxicity.train(docs, spark.createDataFrame(labels[:400], "doc_id bigint, toxic int"))
+    got = [(grade[r.doc_id], r.expected_severity) for r in toxicity.grade(docs, model).collect() if r.doc_id >= 400]
+    mean = [np.mean([x for g, x in got if g == n]) for n in (0, 1, 3, 6, 10)]
+    assert mean == sorted(mean) and mean[-1] - mean[0] > 1.5
+    rank = lambda v: np.argsort(np.argsort(v, kind="stable"), kind="stable")
+    toxic = [(g, x) for g, x in got if g]
+    assert np.corrcoef(rank([g for g, _ in toxic]), rank([x for _, x in toxic]))[0, 1] > 0.8
+
+
+def test_fit_by_brute_force():
+    """The fitted weights are where the penalised likelihood is least."""
+    rng = np.random.default_rng(4)
+    n, k = 60, 3
+    x = rng.integers(0, 3, (n, k)).astype(float)
+    grades = np.clip((x @ [1.0, 0.5, -0.5] + rng.normal(0, 1, n)).round().astype(int), 0, toxicity.GRADES - 1)
+    at, col = np.nonzero(x)
+    w, cuts = toxicity.fit_ordinal(at, col, x[at, col], grades, k, l2=0.05, steps=3000)
+
+    def loss(w, cuts):
+        total = 0.0
+        for row, g in zip(x, grades):
+            upto = [0.0, *(1 / (1 + math.exp(row @ w - c)) for c in cuts), 1.0]
+            total -= math.log(upto[g + 1] - upto[g]) / n
+        return total + 0.025 * (w @ w) + 0.0005 * sum(math.log(b - a) ** 2 for a, b in zip(cuts, cuts[1:]))
+
+    best = loss(w, cuts)
+    for _ in range(300):
+        dw, dc = rng.normal(0, 0.05, k), rng.normal(0, 0.05, len(cuts))
+        if all(np.diff(cuts + dc) > 0):
+            assert loss(w + dw, cuts + dc) >= best - 1e-6
+
+
+def test_features_of_fit_and_score_are_the_same():
+    texts = ["İstanbul naïve é́x ΣΑΣ ﬁne_word x-y 漢字漢字漢字", "", None, "one two threefour"]
+    for t in texts:
+        found = toxicity.text_features(t)
+        model = toxicity.Model({w: i for i, w in enumerate(sorted(found))})
+        assert set(model.features(t)) == set(range(len(found)))
+
+
 def test_toxicity_without_examples(spark):
     docs = documents(spark, [(1, "a b"), (2, None)], extra=False)
     for labels in ([], [(1, 0)], [(1, 1), (2, 1)]):
@@ -152,6 +205,24 @@ def test_near_and_cut_copies_of_items_are_found():
         assert s.find([" ".join(ws[:45] + new(40))]) == [[]]
 
 
+def test_items_of_any_id_in_any_number_of_shards(spark, monkeypatch):
+    rng = random.Random(31)
+    new = lambda n: " ".join(f"q{rng.getrandbits(40):x}" for _ in range(n))
+    bench = [("a", f"{new(30)}. {new(6)}."), ("a", new(40)), (None, new(20)), ("long", new(900)), ("b", new(3)), *((f"i{k}", new(25)) for k in range(20))]
+    docs = [(k, f"{new(15)} {t} {new(15)}") for k, (_, t) in enumerate(bench)] + [(100, new(50)), (101, bench[0][1] + " " + bench[1][1])]
+    bdf = spark.createDataFrame(bench, "item_id string, text string")
+    results = []
+    for size in (8 << 20, 200):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+        parts = list(decontaminate.shards(bdf))
+        assert (len(parts) > decontaminate.RESIDENT) == (size == 200) and sum(map(len, parts)) == len(bench)
+        results.append({r.doc_id: [x.item_id for x in r["items"]] for r in decontaminate.contaminated(documents(spark, docs), bdf).collect()})
+    assert results[0] == results[1]
+    assert results[0] == {**{k: [i] for k, (i, _) in enumerate(bench)}, 100: [], 101: ["a", "a"]}
+    first = decontaminate.contaminated(documents(spark, docs[:1]), bdf).first()["items"][0]
+    assert first.overlap == first.question == first.answer == 1.0
+
+
 def test_search_finds_every_score_over_the_threshold():
     rng = random.Random(5)
     bench = items(rng, 30)
