@@ -679,7 +679,7 @@ def stream_kv_availablenow(spark, sf_dir):
     from keytide.streaming import kv
 
     folder, ops = _log_folder(spark, sf_dir)
-    return kv.run_to_memory(kv.last_writes(kv.read_log(spark, f"{folder}/log", ops.schema, 1)), f"{folder}/state")
+    return kv.current(kv.run_to_files(kv.last_writes(kv.read_log(spark, f"{folder}/log", ops.schema, 1)), f"{folder}/state"))
 
 
 @query("WITH " + OPS_SQL + ", w AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM ops WHERE op IN ('SET', 'DEL') GROUP BY key) SELECT key, value FROM w WHERE op = 'SET'")
@@ -699,7 +699,7 @@ def stream_kv_live(spark, sf_dir):
 
     folder, ops = _log_folder(spark, sf_dir)
     as_of = model.last_instant(ops)
-    rows = kv.run_to_memory(kv.live_states(kv.read_log(spark, f"{folder}/log", ops.schema, 1)), f"{folder}/state", "append")
+    rows = kv.run_to_files(kv.live_states(kv.read_log(spark, f"{folder}/log", ops.schema, 1)), f"{folder}/state", "append")
     last = rows.groupBy("key").agg(F.max(F.struct("seq", "exists", "value", "expires_at_us")).alias("e")).filter("e.exists")
     return state.visible(last.select("key", "e.value", "e.expires_at_us", F.col("e.seq").alias("last_seq")), as_of)
 

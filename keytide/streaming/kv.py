@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from keytide.operators import state
 
@@ -33,25 +33,42 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def run_to_memory(stream: DataFrame, checkpoint: str, mode: str = "complete", name: str | None = None, provider: str = ROCKSDB) -> DataFrame:
-    """Run all data there is through a query and return its table.  The state
-    store's kind is set for this query only."""
-    name, spark = name or "t" + uuid.uuid4().hex, stream.sparkSession
+def run_to_files(stream: DataFrame, checkpoint: str, mode: str = "update", provider: str = ROCKSDB) -> DataFrame:
+    """Run all data there is through a query, each batch's rows to Parquet files
+    beside the checkpoint, and return what all batches wrote, with ``batch``.
+
+    A batch that runs again replaces its own files.  The state store's kind is
+    set for this query only.
+    """
+    spark, out = stream.sparkSession, f"{checkpoint.rstrip('/')}-rows"
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, provider)
     try:
-        query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
+        stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-    return spark.table(name)
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    made = spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*")
+    except AnalysisException:  # no batch had run
+        return made
+
+
+def current(rows: DataFrame) -> DataFrame:
+    """``last_writes`` as of the last batch, from the changes that batches wrote."""
+    return rows.groupBy("key").agg(F.max(F.struct("seq", "op", "value")).alias("e")).select("key", "e.op", "e.value", "e.seq")
 
 
 def replica(ops: DataFrame, cut: int, checkpoint: str, copy: DataFrame) -> DataFrame:
     """A replica from a copy at ``cut`` and the stream of what followed."""
     from keytide.operators import replication
 
-    delta = run_to_memory(last_writes(ops.filter(F.col("seq") > cut)), checkpoint)
+    delta = current(run_to_files(last_writes(ops.filter(F.col("seq") > cut)), checkpoint))
     return replication.apply(copy, delta.select("seq", "op", "key", "value"))
 
 

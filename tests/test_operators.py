@@ -132,7 +132,7 @@ def test_stream_of_states(spark, tmp_path):
         rows = [tuple(o.values()) for o in ops[part * 40 : part * 40 + 40]]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
     stream = streaming.live_states(streaming.read_log(spark, f"{tmp_path}/log", schema, 1))
-    out = streaming.run_to_memory(stream, f"{tmp_path}/cp", "append")
+    out = streaming.run_to_files(stream, f"{tmp_path}/cp", "append")
     last = {r.key: r.e for r in out.groupBy("key").agg(F.max(F.struct("seq", "exists", "value", "expires_at_us")).alias("e")).collect()}
     got = {k: (e.value, e.expires_at_us) for k, e in last.items() if e.exists and (e.expires_at_us is None or e.expires_at_us > 400)}
     assert got == live(ops, 400)
