@@ -26,7 +26,7 @@ from . import common
 from .common import text_slices
 
 #: Pieces of text that a worker remembers.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 150_000
 #: Longer pieces (in bytes) aren't remembered.
 MEMO_BYTES = 256
 NO_RANK = np.iinfo(np.int64).max

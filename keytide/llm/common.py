@@ -171,6 +171,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], at: int, most: int | None = N
             last = min(int(np.searchsorted(ends, done + most)), first + TEXT_ROWS - 1, batch.num_rows - 1)
             yield batch.slice(first, last + 1 - first)
             first = last + 1
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def clean_names(df: DataFrame, columns: dict[str, str]) -> DataFrame:
