@@ -65,3 +65,15 @@ def overflows(delivered_rows: DataFrame, reads: DataFrame, buffer: int = BUFFER)
     both = delivered_rows.select("conn", "seq", F.lit(1).alias("d")).unionByName(reads.select("conn", "seq", F.lit(-1).alias("d")))
     w = Window.partitionBy("conn").orderBy("seq", "d").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("held", F.sum("d").over(w)).filter((F.col("d") == 1) & (F.col("held") > buffer)).groupBy("conn").agg(F.min("seq").alias("seq"))
+
+
+def delivered_to_readers(log: DataFrame, messages: DataFrame, reads: DataFrame, buffer: int = BUFFER) -> DataFrame:
+    """``delivered`` where a full buffer ends its connection: neither the message
+    that finds it full nor any later one counts for it, and what it asks for
+    afterwards counts for nothing.  ``reads`` as in ``overflows``."""
+    full = overflows(deliveries(log, messages).select("conn", "seq"), reads, buffer).withColumnRenamed("seq", "full_seq")
+    # a place for the end before the message at the same place
+    kept = log.join(full, "conn", "left").filter(F.col("full_seq").isNull() | (F.col("seq") < F.col("full_seq"))).select((F.col("seq") * 2).alias("seq"), "conn", "op", "channel")
+    ends = full.select((F.col("full_seq") * 2).alias("seq"), "conn", F.lit("CLOSE").alias("op"), F.lit(None).cast("string").alias("channel"))
+    out = delivered(kept.unionByName(ends), messages.select((F.col("seq") * 2 + 1).alias("seq"), "channel"))
+    return out.withColumn("seq", F.floor(F.col("seq") / 2))

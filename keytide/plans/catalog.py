@@ -220,22 +220,30 @@ def kv_after_flush(spark, sf_dir):
     return state.replay(log, model.last_instant(ops)).select("key", "value")
 
 
-@query("WITH n AS (SELECT i, i % 5 = 0 AS w, 'key:' || (i * 7919 % 1000) AS key FROM range(20000) t(i)) SELECT CASE WHEN w THEN 'SET' ELSE 'GET' END AS cmd, count(*) AS n, count(DISTINCT key) AS keys FROM n GROUP BY 1")
+@query("WITH n AS (SELECT i, i % 5 = 0 AS w, 'key:' || (i * 7919 % 100000) AS key FROM range(100000) t(i)) SELECT CASE WHEN w THEN 'SET' ELSE 'GET' END AS cmd, count(*) AS n, count(DISTINCT key) AS keys FROM n GROUP BY 1")
 def workload_mixed(spark, sf_dir):
-    rows = workloads.mixed(spark, 20_000, 1000)
+    rows = workloads.mixed(spark, 100_000, 100_000)
     return rows.groupBy("cmd").agg(F.count("*").alias("n"), F.countDistinct(F.col("args")[0]).alias("keys"))
 
 
-@query("SELECT substr(reply, 1, 1) AS kind, count(*) AS n FROM (SELECT CASE WHEN i % 5 = 0 THEN '+' WHEN EXISTS (SELECT 1 FROM range(2000) u(j) WHERE j % 5 = 0 AND j < i AND j * 7919 % 100 = i * 7919 % 100) THEN '$x' ELSE '$-1' END AS reply FROM range(2000) t(i)) GROUP BY 1")
+@query("WITH k AS (SELECT i, i * 7919 % 100000 AS key, i % 5 = 0 AS w FROM range(100000) t(i)), s AS (SELECT key, min(i) AS first FROM k WHERE w GROUP BY key) SELECT CASE WHEN w THEN '+' WHEN first < i THEN '$x' ELSE '$-1' END AS reply, count(*) AS n FROM k LEFT JOIN s USING (key) GROUP BY 1")
 def workload_replies(spark, sf_dir):
-    """The mixed load answered: kinds of replies."""
-    rows = commands.replies(workloads.mixed(spark, 2000, 100))
-    return rows.groupBy(F.substring("reply", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+    """The mixed load at its usual size, answered: kinds of replies."""
+    rows = commands.replies(workloads.mixed(spark, 100_000, 100_000))
+    kind = F.when(F.col("reply").startswith("$x"), "$x").when(F.col("reply") == "+OK", "+").otherwise(F.col("reply"))
+    return rows.groupBy(kind.alias("reply")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 500::BIGINT AS published, 5000::BIGINT AS received, 5000::BIGINT AS expected, 100.0::DOUBLE AS rate")
+@query("SELECT CASE WHEN i < 100000 THEN '+OK' ELSE ':1' END AS reply, count(*) AS n, count(DISTINCT i % 50) AS conns FROM range(200000) t(i) GROUP BY 1")
+def workload_expiring(spark, sf_dir):
+    """Writes with an expiry, each renewed before it ends."""
+    rows = commands.replies(workloads.expiring(spark, 100_000))
+    return rows.groupBy("reply").agg(F.count("*").alias("n"), F.countDistinct("conn").alias("conns"))
+
+
+@query("SELECT count(*) AS published, (count(*) * 10)::BIGINT AS received, (count(*) * 10)::BIGINT AS expected, 100.0::DOUBLE AS rate FROM range(10000) t(i)")
 def workload_pubsub(spark, sf_dir):
-    log, sent = workloads.published(spark, 500)
+    log, sent = workloads.published(spark, 10_000)
     return stats.delivery_rate(pubsub.delivered(log, sent), 10)
 
 
@@ -304,6 +312,47 @@ def route_ask(spark, sf_dir):
     return cluster.ask(_keys(spark, sf_dir), here, moving, _nodes(spark))
 
 
+@query(SLOT_SQL + " SELECT key, slot, CAST(NULL AS VARCHAR) AS reply FROM s")
+def route_replica_reads(spark, sf_dir):
+    """Seen from a replica that serves reads of all keys."""
+    return cluster.route(_keys(spark, sf_dir), _nodes(spark), "d4", replica_reads=True)
+
+
+@query(f"WITH a AS (SELECT 'n' || c_custkey AS id, '10.1.' || (c_custkey % 9) || '.1:6380' AS addr, c_custkey % 20000 AS lo, c_custkey % 20000 + c_custkey % 3 - 1 AS hi FROM customer), m AS (SELECT addr, min(id) AS id FROM a WHERE addr NOT IN (SELECT addr FROM {RANGES_SQL}) GROUP BY addr) SELECT a.id, a.addr, 'master' AS role, CASE WHEN hi < 16384 AND lo <= hi THEN hi - lo + 1 ELSE 0 END AS slots FROM a JOIN m USING (id, addr) UNION ALL SELECT DISTINCT id, addr, 'master', sum(hi - lo + 1) FROM {RANGES_SQL} GROUP BY id, addr UNION ALL SELECT 'd4', '10.0.4.1:6380', 'replica', 0")
+def cluster_meet(spark, sf_dir):
+    """Customers as nodes that ask to join, nine addresses in all."""
+    k = F.col("c_custkey")
+    asked = model.table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), k).alias("id"), F.concat(F.lit("10.1."), k % 9, F.lit(".1:6380")).alias("addr"), (k % 20000).alias("start"), (k % 20000 + k % 3 - 1).alias("end"))
+    joined = cluster.meet(_nodes(spark), asked)
+    return joined.select("id", "addr", "role", F.aggregate("slots", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"] + 1).alias("slots"))
+
+
+@query("SELECT n_name AS id, CASE WHEN n_nationkey = 3 THEN 'replica' ELSE 'master' END AS role, CASE WHEN n_nationkey = 3 THEN (SELECT n_name FROM nation WHERE n_nationkey = 5) END AS master_id FROM nation")
+def cluster_replicate(spark, sf_dir):
+    """Nations as nodes: number 3 becomes a replica of number 5, then asks for one that isn't there."""
+    rows = model.table(spark, sf_dir, "nation")
+    name = {r.n_nationkey: r.n_name for r in rows.filter("n_nationkey in (3, 5)").collect()}
+    nodes = rows.select(F.col("n_name").alias("id"), F.lit("master").alias("role"), F.lit(None).cast("string").alias("master_id"))
+    return cluster.replicate(cluster.replicate(nodes, name[3], name[5]), name[3], "nowhere")
+
+
+@query(
+    """WITH log AS (SELECT event_id AS seq, event_id % 20000 - 100 AS slot, CASE event_type WHEN 'view' THEN 'node' WHEN 'click' THEN 'MIGRATING' WHEN 'purchase' THEN 'IMPORTING' ELSE 'x' END AS action, CASE user_id % 5 WHEN 0 THEN 'a1' WHEN 1 THEN 'b2' WHEN 2 THEN 'c3' WHEN 3 THEN 'zz' END AS node FROM events),
+b AS (SELECT -1 AS seq, CAST(s AS BIGINT) AS slot, 'NODE' AS action, id AS node FROM """
+    + RANGES_SQL
+    + """, unnest(generate_series(lo, hi)) g(s) UNION ALL SELECT seq, slot, upper(action), node FROM log),
+w AS (SELECT *, last_value(CASE WHEN action = 'NODE' AND node IN ('a1', 'b2', 'c3') AND slot BETWEEN 0 AND 16383 THEN node END IGNORE NULLS) OVER (PARTITION BY slot ORDER BY seq) AS owner FROM b)
+SELECT seq, CASE WHEN slot NOT BETWEEN 0 AND 16383 THEN '-ERR invalid slot number' WHEN action = 'X' THEN '-ERR unknown setslot action' WHEN node IS NULL THEN '-ERR missing node-id for ' || action
+  WHEN action = 'MIGRATING' AND coalesce(owner, '') <> 'a1' THEN '-ERR I''m not the owner of this slot' WHEN node = 'zz' THEN '-ERR unknown node zz' ELSE '+OK' END AS reply FROM w WHERE seq >= 0"""
+)
+def setslot_replies(spark, sf_dir):
+    action = F.when(F.col("event_type") == "view", "node").when(F.col("event_type") == "click", "MIGRATING").when(F.col("event_type") == "purchase", "IMPORTING").otherwise("x")
+    node = F.element_at(F.array(F.lit("a1"), F.lit("b2"), F.lit("c3"), F.lit("zz"), F.lit(None)), (F.col("user_id") % 5 + 1).cast("int"))
+    log = model.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 20000 - 100).cast("int").alias("slot"), action.alias("action"), node.alias("node"))
+    nodes = _nodes(spark)
+    return cluster.setslot_replies(cluster.slot_table(nodes).select("slot", "id"), log, nodes, "a1")
+
+
 @query(f"SELECT lo AS start, hi AS \"end\", id, split_part(addr, ':', 1) AS host, CAST(split_part(addr, ':', 2) AS INTEGER) AS port FROM {RANGES_SQL}")
 def cluster_slots(spark, sf_dir):
     return cluster.slots_report(_nodes(spark))
@@ -548,6 +597,23 @@ def pubsub_overflows(spark, sf_dir):
     return pubsub.overflows(rows.select("conn", "seq"), rows.select("conn", "seq").filter("false"), 20)
 
 
+@query("WITH " + PS_SQL + ", r AS (SELECT i.conn, m.seq, row_number() OVER (PARTITION BY i.conn ORDER BY m.seq) AS n FROM m JOIN i ON m.channel = i.channel AND m.seq > i.seq AND (i.to_seq IS NULL OR m.seq < i.to_seq)) SELECT m.seq, m.channel, count(r.conn) AS delivered FROM m LEFT JOIN r ON r.seq = m.seq AND r.n <= 20 GROUP BY ALL")
+def pubsub_backpressure(spark, sf_dir):
+    """Counts where connections never read and end with the 21st message."""
+    log, messages = _pubsub(spark, sf_dir)
+    never = spark.createDataFrame([], "conn bigint, seq bigint")
+    return pubsub.delivered_to_readers(log, messages, never, 20)
+
+
+@query("WITH " + PS_SQL + ", x AS (SELECT *, count(*) FILTER (op = 'U') OVER (PARTITION BY conn ORDER BY seq) AS ends FROM l), y AS (SELECT conn, channel, ends, min(seq) AS seq FROM x WHERE op = 'S' GROUP BY ALL), z AS (SELECT y.*, (SELECT min(seq) FROM x WHERE x.conn = y.conn AND x.op = 'U' AND x.seq > y.seq) AS to_seq FROM y) SELECT m.seq, m.channel, count(DISTINCT z.conn) AS delivered FROM m LEFT JOIN z ON m.channel = z.channel AND m.seq > z.seq AND (z.to_seq IS NULL OR m.seq < z.to_seq) GROUP BY ALL")
+def pubsub_unsubscribe_all(spark, sf_dir):
+    """Leaving every channel at once: by name of none, or by the connection's end."""
+    log, messages = _pubsub(spark, sf_dir)
+    gone = F.col("op") == "UNSUBSCRIBE"
+    log = log.withColumn("channel", F.when(~gone, F.col("channel"))).withColumn("op", F.when(gone & (F.col("seq") % 2 == 0), "CLOSE").otherwise(F.col("op")))
+    return pubsub.delivered(log, messages)
+
+
 # -------------------------------------------------------------- transactions
 
 TX_SQL = """c AS (SELECT conv_id AS conn, turn AS seq, CASE WHEN turn % 5 = 1 THEN 'MULTI' WHEN turn % 5 = 4 AND conv_id % 3 = 0 THEN 'DISCARD' WHEN turn % 5 = 4 AND conv_id % 3 = 1 THEN 'EXEC' WHEN role = 'user' THEN 'SET' ELSE 'GET' END AS cmd FROM conversations),
@@ -663,6 +729,30 @@ def resp_roundtrip(spark, sf_dir):
     return resp.decode_commands(raw).select("seq", F.array_join("args", " ").alias("line"), "err")
 
 
+@query("""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, text IS NULL OR length(text) = 0 AS blank, octet_length(encode(text)) AS n FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'SET|a|b' WHEN 1 THEN 'GET|k|42' WHEN 2 THEN 'PING' END AS line, CASE k WHEN 3 THEN 'not a number: b''1_0''' WHEN 4 THEN 'bad length' WHEN 5 THEN 'unexpected end' END AS err FROM c""")
+def resp_errors(spark, sf_dir):
+    """Commands in plain words, integers in a command, and what no parser takes."""
+    raw = F.element_at(F.array(*map(F.lit, ("SET a b\r\n", "*3\r\n$3\r\nGET\r\n$1\r\nk\r\n:42\r\n", "*1\r\n$4\r\nPING\r\n", "*1_0\r\n", "*1\r\n$9\r\nshort\r\n", "*2\r\n$4\r\nPING\r\n"))), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    rows = model.table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("raw"))
+    return resp.decode_commands(rows).select("conv_id", "turn", F.array_join("args", "|").alias("line"), "err")
+
+
+@query("SELECT 'trigger_' || (n_nationkey + 1) AS id, CAST(n_nationkey + 1 AS INTEGER) AS ord, 'SET' AS event, n_name || ':*' AS pattern, 'm' AS module, 'f' AS func FROM nation")
+def trigger_file(spark, sf_dir):
+    """A registry written to a folder and read back: its triggers, by number."""
+    from keytide.sources import registry_files
+
+    registry, folder = triggers.Registry(), work_dir(spark)
+    for r in model.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
+        registry.add_trigger("set", f"{r.n_name}:*", "m", "f")
+    registry_files.save(registry, folder, {"m": "def f(key):\n    return len(key)\n"})
+    back = registry_files.restore(folder)
+    if back.execute("m", "f", "four") != 4:
+        raise ValueError("the module isn't the one saved")
+    return registry_files.read_triggers(spark, f"{folder}/triggers.json").join(back.trigger_table(spark).select("id"), "id", "left_semi")
+
+
 # ------------------------------------------------------ streams and replicas
 
 
