@@ -5,7 +5,9 @@ level: the whole -> public suffix -> registered domain -> host.  Each level's
 rate is the mean of a beta posterior whose prior has the level above as mean
 and a strength fitted by the method of moments (Kleinman's estimator of the
 beta-binomial's intra-class correlation).  A host is blocked when the lower
-bound of its posterior bad rate is over the limit.  Rules come before that.
+bound of its posterior bad rate is over the limit; the bound is the normal
+approximation, mean less Z standard deviations of the beta posterior.  Rules come
+before that.
 
 Native: DataFrame functions only.
 """
@@ -44,14 +46,25 @@ def rule_column(host, path, rules=RULES):
     return out
 
 
-def with_domains(df: DataFrame) -> DataFrame:
-    """Adds ``suffix`` and ``domain`` (registered domain) from ``host``."""
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Adds ``suffix`` and ``domain`` (registered domain) to rows of distinct ``host``.
+
+    ``suffixes`` has a column suffix, of any number of labels: the longest that a
+    host ends with counts.  Without it, and for hosts that end with none, a suffix
+    is the last label, or one of TWO_LABEL_SUFFIXES.
+    """
     labels = F.split("host", r"\.")
     two = F.substring_index("host", ".", -2)
     is_two = two.isin(*TWO_LABEL_SUFFIXES)
     suffix = F.when(is_two, two).otherwise(F.substring_index("host", ".", -1))
     domain = F.when(is_two & (F.size(labels) > 2), F.substring_index("host", ".", -3)).otherwise(two)
-    return df.withColumn("suffix", suffix).withColumn("domain", domain)
+    if suffixes is None:
+        return hosts.withColumn("suffix", suffix).withColumn("domain", domain)
+    tails = hosts.select("host", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("at", "tail"))
+    found = tails.join(suffixes.select(F.col("suffix").alias("tail")).distinct(), "tail").groupBy("host").agg(F.min("at").alias("at"))
+    out = hosts.join(found, "host", "left").withColumn("known", F.col("at").isNotNull())
+    tail = lambda i: F.array_join(F.slice(labels, F.greatest(F.lit(1), i), F.size(labels)), ".")
+    return out.withColumn("suffix", F.when(F.col("known"), tail(F.col("at") + 1)).otherwise(suffix)).withColumn("domain", F.when(F.col("known"), tail(F.col("at"))).otherwise(domain)).drop("at", "known")
 
 
 def _strength(groups: DataFrame) -> tuple[float, float]:
@@ -68,7 +81,7 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return mean, 1 / rho - 1
 
 
-def reputation(outcomes: DataFrame, z: float = Z) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+def reputation(outcomes: DataFrame, z: float = Z, suffix_table: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
     """Posterior tables (host), (domain), (suffix) from (host, bad 0/1) rows.
 
     Each has its key, ``rate`` and ``low``, the posterior mean and lower
@@ -77,7 +90,7 @@ def reputation(outcomes: DataFrame, z: float = Z) -> tuple[DataFrame, DataFrame,
     gets.
     """
     counted = outcomes.filter(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    hosts = common.stash(with_domains(counted), "hosts")
+    hosts = common.stash(with_domains(counted, suffix_table), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains, suffixes = hosts.groupBy("domain", "suffix").agg(*sums), hosts.groupBy("suffix").agg(*sums)
     mean, k_suffix = _strength(suffixes)
@@ -94,21 +107,22 @@ def reputation(outcomes: DataFrame, z: float = Z) -> tuple[DataFrame, DataFrame,
     return hosts, domains, suffixes, {"mean": mean, "suffix": k_suffix, "domain": k_domain, "host": k_host}
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, limit: float = MAX_BAD_RATE) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, limit: float = MAX_BAD_RATE, suffix_table: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     ``outcomes`` is (host, bad).  A host without outcomes is judged by its
     domain, then its suffix; without any, it is allowed, as it is when no
     outcomes exist at all.  Null urls have empty host and path.  Repeated rows
-    are judged alike; other columns of ``pages`` are ignored.
+    are judged alike, null ids are kept; other columns of ``pages`` are ignored; an
+    empty table gives an empty result.  ``suffix_table`` as in ``with_domains``.
     """
-    hosts, domains, suffixes, _ = reputation(outcomes)
+    hosts, domains, suffixes, _ = reputation(outcomes, suffix_table=suffix_table)
     host, path = url_parts(F.col("url"))
     rows = common.clean_names(pages, {"page_id": id_col, "url": url_col}).select("page_id", host.alias("host"), path.alias("path"))
-    rows = common.stash(with_domains(rows), "urls")
+    rows = common.stash(rows, "urls")
     total = rows.count()
     # one lookup per distinct host, then one verdict per host: pages meet only that
-    seen = rows.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n_rows"))
+    seen = with_domains(rows.groupBy("host").agg(F.count("*").alias("n_rows")), suffix_table)
     look = (
         seen.join(hosts.select("host", F.col("low").alias("l1")), "host", "left")
         .join(domains.select("domain", F.col("low").alias("l2")), "domain", "left")

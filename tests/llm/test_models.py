@@ -281,6 +281,13 @@ def test_reputation_against_sql(spark):
     assert url_reputation.judge(pdf.limit(0), outcomes).count() == 0
 
 
+def test_suffixes_from_a_table(spark):
+    cases = {"a.b.c.uk": ("c.uk", "b.c.uk"), "c.uk": ("c.uk", "c.uk"), "x.y.z.w": ("z.w", "y.z.w"), "www.me.co.uk": ("co.uk", "me.co.uk"), "plain.net": ("net", "plain.net"), "": ("", ""), "q.deep.y.z.w": ("deep.y.z.w", "q.deep.y.z.w")}
+    hosts = spark.createDataFrame([(h,) for h in cases], "host string")
+    table = spark.createDataFrame([("c.uk",), ("z.w",), ("w",), ("deep.y.z.w",), ("z.w",), (None,)], "suffix string")
+    assert {r.host: (r.suffix, r.domain) for r in url_reputation.with_domains(hosts, table).collect()} == cases
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="sidebar-left">
 <header><h2>Site</h2><a href=/>Home</a></header><nav><ul><li><a href="/a">Alpha</a></li><li><a href="/b">Beta, gamma.</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies, please accept them all, thank you.</p></div>
