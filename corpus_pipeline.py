@@ -2,6 +2,12 @@
 
 Every stage works on all rows its predecessor kept.  All but the last return
 the columns of ``documents``; the last returns what ``op2_bpe`` returns.
+
+In every stage null texts count as empty, whole texts are read however long they
+are, rows that repeat are treated alike, and an empty table gives an empty result.
+Columns besides doc_id and text are passed on, whatever their names.  Rows with a
+null id stay unless their text rejects them: exact dedup keeps one of them only
+where no equal text has an id, SimHash can't name them and keeps all.
 """
 
 from __future__ import annotations
@@ -12,22 +18,25 @@ from keytide.llm import bpe, common, decontaminate, exact_dedup, simhash, toxici
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model, fitted on the labelled ones, accepts."""
+    """Documents that the severity model, fitted on the labelled ones, accepts;
+    without labels of both kinds, all."""
     return toxicity.keep_clean(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts (A-Z lower-cased) the document with the largest id; of rows
+    that tie on it, one."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the least id."""
+    """Of each SimHash component the document with the least id; rows that tie on
+    it all stay."""
     return simhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; with an empty benchmark, all."""
     return decontaminate.remove(docs, common.table(spark, sf_dir, "benchmark"))
 
 
