@@ -33,6 +33,11 @@ def replay(ops: DataFrame, as_of: int) -> DataFrame:
     that is a coming expiry.  A write doesn't clear an expiry.  Unknown
     operations, null keys and expiries without an instant count for nothing; an
     empty log has no keys.
+
+    Values are strings, so a task sorts its part of the log by key and combines
+    it to one row a key, which is all that moves.  Taking the last places as
+    numbers first would spare that sort, but the values of all writes would have
+    to move to be joined to them.
     """
     past = (F.col("op") == "EXPIRE") & (F.col("exp_us") <= as_of)
     event = F.struct("seq", "op", "value")
