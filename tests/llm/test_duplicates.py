@@ -308,3 +308,51 @@ def test_every_further_occurrence_is_removed(spark):
     assert removed_words(got[0]) == set() and removed_words(got[1]) == at(4, 72, 162)
     assert removed_words(got[2]) == at(100) and removed_words(got[3]) == at(3)
     assert removed_words(got[4]) == set(range(24, 100)) and removed_words(got[5]) == set(range(70))
+
+
+def edited(rng, new, ws):
+    """A line with a word changed near an end, put in or taken out in the middle, or its halves changed about."""
+    half, kind = len(ws) // 2, rng.randrange(3)
+    if len(ws) < 30:
+        p = rng.choice([0, 1, len(ws) - 1])
+        return ws[:p] + new(1) + ws[p + 1 :]
+    return [ws[half:] + ws[:half], ws[:half] + new(1) + ws[half:], ws[:half] + ws[half + 1 :]][kind]
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_near_lines_against_brute_force(spark, tile):
+    """Lines too short to have WIDTH equal words in a row with what they resemble."""
+    new, rng = fresh_words(24), random.Random(24)
+    lines = []
+    for k in range(60):
+        family = [new(rng.choice([24, 25, 45, 46]))]
+        for _ in range(12 if k == 0 else rng.randrange(1, 4)):
+            family.append(edited(rng, new, rng.choice(family)))
+        lines += [ws for ws in family if len(ws) >= substring_dedup.WIDTH]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join([" ".join(new(7)), " ".join(ws), " ".join(new(30))])) for i, ws in enumerate(lines)]
+    runs = [{tuple(ws[p : p + 24]) for p in range(len(ws) - 23)} for ws in lines]
+    pairs = [(i, j) for j in range(len(lines)) for i in range(j)]
+    near = [(i, j) for i, j in pairs if jaccard(lines[i], lines[j]) >= substring_dedup.SIMILARITY]
+    equal = [(i, j) for i, j in pairs if runs[i] & runs[j]]
+    only = union(len(lines), near + equal)
+    assert len(set(near) - set(equal)) > 30 and only != union(len(lines), equal)
+    got = {r.doc_id: r for r in substring_dedup.classify(documents(spark, rows), tile=tile).collect()}
+    groups = union(len(lines), near)
+    for i, ws in enumerate(lines):
+        assert got[i].component_id == only[i], i
+        assert got[i].repeated == (only.count(only[i]) > 1)
+        assert removed_words(got[i]) <= set(range(7, 7 + len(ws)))
+        if groups[i] != i:  # of near lines all but the first go, whole
+            assert removed_words(got[i]) == set(range(7, 7 + len(ws))) and groups[i] in got[i].keep_ids
+
+
+def test_bands_of_lines_find_near_ones():
+    """At the least similarity the bands have 0.9998 by calculation."""
+    rng, sizes, hits = np.random.default_rng(25), np.array([44]), 0
+    for _ in range(3000):  # 40 shingles each, 36 of them in common: 36 / 44
+        a = rng.integers(0, 1 << 63, 40, np.uint64)
+        b = np.append(a[:36], rng.integers(0, 1 << 63, 4, np.uint64))
+        keys = [substring_dedup.bands(x, np.array([0]), sizes)[1][0] for x in (a, b)]
+        hits += bool((keys[0] == keys[1]).any())
+    assert hits >= 2990
