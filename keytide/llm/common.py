@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,20 @@ def unstash(*frames: DataFrame | None) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside has its shuffle files removed as soon as it ends.  Else they
+    stay until the driver happens to collect the plans, so those of many steps in a
+    row lie on the disks together."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def hot_limit(total: int) -> int:
     return max(HOT_LEAST, int(total * HOT_SHARE))
 

@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,28 +62,90 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 11)
 
 
-def words(text: str | None) -> list[str]:
-    return re.findall(r"\w+", (text or "").lower())
-
-
-def lines(text: str | None) -> tuple[list[str], np.ndarray]:
-    """All ``words``, and how many are in each line."""
-    parts = [re.findall(r"\w+", line) for line in (text or "").lower().split("\n")]
-    return list(chain.from_iterable(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
+@lru_cache(maxsize=1)
+def _word_chars() -> np.ndarray:
+    """Of every code point, whether words have it."""
+    out = np.zeros(0x110000, bool)
+    for m in re.finditer(r"\w+", "".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
 
 
-def shingle_hashes(ws: list[str]) -> np.ndarray:
-    """The hash of every run of SHINGLE words."""
-    h = np.fromiter(map(_word_hash, ws), np.uint64, len(ws))
-    n = len(ws) - SHINGLE + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all words, how many each line has, how many lines each text has);
+    words are runs of \\w in the lower-cased text."""
+    code = np.frombuffer("\n".join([t or "" for t in texts]).lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    word = _word_chars()[code]
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    first, size = edge[::2], edge[1::2] - edge[::2]
+    begin = np.cumsum(size) - size
+    h = np.zeros(0, np.uint64)
+    if len(first):
+        place = np.arange(1, int(size.sum()) + 1) - np.repeat(begin, size)
+        h = _mix(np.add.reduceat(_mix(code[word] + place.astype(np.uint64) * GOLDEN), begin) + size.astype(np.uint64))
+    ends = np.append(np.flatnonzero(code == ord("\n")), len(code))
+    return h, np.diff(np.searchsorted(first, ends), prepend=0), np.array([(t or "").count("\n") + 1 for t in texts])
+
+
+def shingles(h: np.ndarray) -> np.ndarray:
+    """The hash of every run of SHINGLE words of these."""
+    n = max(0, len(h) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     for i in range(SHINGLE):
         out = _mix(out * GOLDEN + h[i : i + n] + np.uint64(1))
     return out
 
 
+def shingle_hashes(ws: list[str]) -> np.ndarray:
+    return shingles(np.fromiter(map(_word_hash, ws), np.uint64, len(ws)))
+
+
+class _Slice:
+    """The words of some texts in a row: ``first`` word and ``size`` of each text,
+    and the hashes ``sh`` of all shingles, which mean nothing across an end."""
+
+    def __init__(self, texts: list[str | None]):
+        h, self.in_line, n_lines = word_hashes(texts)
+        self.line_text = np.repeat(np.arange(len(texts)), n_lines)
+        self.size = np.bincount(self.line_text, self.in_line, len(texts)).astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.text = np.repeat(np.arange(len(texts)), self.size)  # of each word
+        self.sh = shingles(h)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, first words, hashes) of the texts that are shorter than a run."""
+        found = [np.flatnonzero(self.size == n) for n in range(SHINGLE, WIDTH)]
+        h = [run_hashes(self.sh, self.first[t], n) for n, t in enumerate(found, SHINGLE)]
+        rows = np.concatenate(found)
+        return rows, np.zeros(len(rows), np.int64), np.concatenate(h)
+
+    def runs(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, places in them, hashes) of the runs ``at`` and of ``whole``."""
+        rows = self.text[at]
+        return tuple(map(np.concatenate, zip((rows, at - self.first[rows], h), self.whole())))
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, places, hashes) of all anchors; a text shorter than a run has
+        one, the hash of the whole."""
+        n = max(0, len(self.text) - SEED + 1)
+        h = run_hashes(self.sh, np.arange(n), SEED)
+        at = least(h, SPAN)
+        left = (self.first + self.size)[self.text] - np.arange(len(self.text))
+        at = at[left[: len(at)] >= WIDTH]
+        at = at[np.append(True, at[1:] != at[:-1])[: len(at)]]  # they only grow
+        return self.runs(at, h[at])
+
+    def around(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, places, hashes) of all paragraphs around the anchors ``at`` of the
+        texts ``row``, and of all texts that are shorter than a run."""
+        low = self.first[row][:, None]
+        near = low + at[:, None] - np.arange(SPAN)
+        held = np.zeros(len(self.text), bool)
+        held[near[(near >= low) & (near <= low + self.size[row][:, None] - WIDTH)]] = True
+        at = np.flatnonzero(held)
+        return self.runs(at, run_hashes(self.sh, at, WIDTH))
+
+
 def run_hashes(sh: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """One hash for each run of ``width`` words from ``at``, over all of its words."""
     out = np.zeros(len(at), np.uint64)
@@ -93,27 +154,15 @@ def run_hashes(sh: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of the anchors of a text with these shingles; a short
-    text has one, the hash of the whole."""
-    n = len(sh) - (SEED - SHINGLE)
-    if 0 < len(sh) and n < SPAN:
-        return np.zeros(1, np.int64), run_hashes(sh, np.zeros(1, np.int64), len(sh) + SHINGLE - 1)
-    if n < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = run_hashes(sh, np.arange(n), SEED)
-    view = np.lib.stride_tricks.sliding_window_view(h, SPAN)
-    at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-    return at, h[at]
-
-
-def paragraphs(sh: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of all paragraphs around the anchors ``at``."""
-    if len(sh) < WIDTH - SHINGLE + 1:
-        return np.zeros(1, np.int64), run_hashes(sh, np.zeros(1, np.int64), len(sh) + SHINGLE - 1)
-    near = np.unique(np.array(at, np.int64)[:, None] - np.arange(SPAN))
-    near = near[(near >= 0) & (near <= len(sh) - (WIDTH - SHINGLE + 1))]
-    return near, run_hashes(sh, near, WIDTH)
+def least(h: np.ndarray, span: int) -> np.ndarray:
+    """Of every ``span`` hashes in a row, the place of the first least one."""
+    at, have = np.arange(len(h)), 1
+    while have < span:
+        step = min(have, span - have)
+        a, b = at[: max(0, len(at) - step)], at[step:]
+        at = np.where(h[b] < h[a], b, a)
+        have += step
+    return at
 
 
 def bands(sh: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +187,10 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _rows(b: pa.RecordBatch, keep: int, found: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    """The first ``keep`` columns of ``b`` with each row's (position, hash) pairs."""
-    rows = pa.array(np.repeat(np.arange(len(found)), [len(a) for a, _ in found]))
-    pos, h = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-    return pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(keep)), pa.array(pos.astype(np.int32)), _signed(h)], names)
+def _rows(b: pa.RecordBatch, keep: int, found: tuple[np.ndarray, np.ndarray, np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """The first ``keep`` columns of ``b`` with the (row, position, hash) of ``found``."""
+    rows, pos, h = found
+    return pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(rows)) for i in range(keep)), pa.array(pos.astype(np.int32)), _signed(h)], names)
 
 
 def _seeds(docs: DataFrame) -> DataFrame:
@@ -151,23 +199,16 @@ def _seeds(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         for b in text_slices(batches, 2):
-            texts = [lines(t) for t in b.column(2).to_pylist()]
-            found = [shingle_hashes(ws) for ws, _ in texts]
-            seeds = _rows(b, 2, [anchors(sh) for sh in found], ["doc_id", "th", "pos", "h"])
+            s = _Slice(b.column(2).to_pylist())
+            seeds = _rows(b, 2, s.anchors(), ["doc_id", "th", "pos", "h"])
             none = [pa.nulls(seeds.num_rows, t) for t in (pa.int32(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*seeds.columns, *none], [*seeds.schema.names, "size", "bands"])
-            size = np.concatenate([n for _, n in texts])
-            first = np.concatenate([np.cumsum(n) - n for _, n in texts])
-            row = np.repeat(np.arange(len(texts)), [len(n) for _, n in texts])
-            long = size >= WIDTH
-            size, first, row = size[long], first[long], row[long]
-            ends = np.cumsum([0, *map(len, found)])
-            h, keys = bands(np.concatenate(found), ends[row] + first, size)
+            long = s.in_line >= WIDTH
+            size, first, row = s.in_line[long], (np.cumsum(s.in_line) - s.in_line)[long], s.line_text[long]
+            h, keys = bands(s.sh, first, size)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * BANDS, pa.int32()), _signed(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i).take(pa.array(row)) for i in (0, 1)), pa.array(first.astype(np.int32)), _signed(h), pa.array(size.astype(np.int32)), listed],
-                ["doc_id", "th", "pos", "h", "size", "bands"],
-            )
+            lines = _rows(b, 2, (row, first - s.first[row], h), ["doc_id", "th", "pos", "h"])
+            yield pa.RecordBatch.from_arrays([*lines.columns, pa.array(size.astype(np.int32)), listed], [*lines.schema.names, "size", "bands"])
 
     return docs.mapInArrow(work, "doc_id bigint, th bigint, pos int, h bigint, size int, bands array<bigint>")
 
@@ -177,7 +218,8 @@ def _windows(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         for b in text_slices(batches, 1):
-            found = [paragraphs(shingle_hashes(words(t)), at) for t, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            found = _Slice(b.column(1).to_pylist()).around(row, b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
             yield _rows(b, 1, found, ["doc_id", "pos", "h"])
 
     return docs.mapInArrow(work, "doc_id bigint, pos int, h bigint")
@@ -219,10 +261,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def work(batches):
         for b in text_slices(batches, 0):
             hs, sets = [], []
-            for text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sh = shingle_hashes(words(text))
+            texts = _Slice(b.column(0).to_pylist())
+            for first, found in zip(texts.first.tolist(), b.column(1).to_pylist()):
                 hs += [f["h"] for f in found]
-                sets += [np.unique(sh[f["pos"] : f["pos"] + f["size"] - SHINGLE + 1]) for f in found]
+                sets += [np.unique(texts.sh[first + f["pos"] : first + f["pos"] + f["size"] - SHINGLE + 1]) for f in found]
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(sets)))], ["h", "sh"])
 
@@ -391,8 +433,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     are ignored; an empty table gives an empty result.
     """
     ids = common.clean_names(docs, {"doc_id": id_col}).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    repeated = removals(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, bucket, tile)
-    ties = components(repeated.select(F.col("doc_id").alias("a"), F.col("keep_id").alias("b")).filter("a <> b").distinct())
+    with common.shuffles_removed(docs.sparkSession):
+        repeated = removals(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, bucket, tile)
+        ties = components(repeated.select(F.col("doc_id").alias("a"), F.col("keep_id").alias("b")).filter("a <> b").distinct())
     per = _per_document(repeated)
     out = ids.join(per, "doc_id", "left").join(ties.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select(

@@ -1,3 +1,4 @@
+import glob
 import random
 import re
 
@@ -356,3 +357,43 @@ def test_bands_of_lines_find_near_ones():
         keys = [substring_dedup.bands(x, np.array([0]), sizes)[1][0] for x in (a, b)]
         hits += bool((keys[0] == keys[1]).any())
     assert hits >= 2990
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """What a step has shuffled isn't left on disk for the steps behind it."""
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    got = substring_dedup.classify(documents(spark, tricky()))
+    assert not files() - before
+    assert spark.conf.get(name, None) == setting
+    assert got.filter("repeated").count()
+
+
+def test_anchors_of_a_slice_are_those_of_each_text():
+    """Words, anchors and runs of many texts at once against one text after the other."""
+    sd, rng = substring_dedup, random.Random(31)
+    texts = [t for _, t in tricky()] + ["\n\n y_1 \u0130x \u0391\u03a3 \u0391\u03a3\n\u03a3", "a " * 30, *(text(rng, n) for n in range(1, 60))]
+    h, in_line, n_lines = sd.word_hashes(texts)
+    ws = [[re.findall(r"\w+", line) for line in (t or "").lower().split("\n")] for t in texts]
+    assert in_line.tolist() == [len(line) for t in ws for line in t] and n_lines.tolist() == list(map(len, ws))
+    of = {}
+    assert all(of.setdefault(w, x) == x for w, x in zip((w for t in ws for line in t for w in line), h.tolist())) and len(set(of.values())) == len(of)
+    anchors, runs = set(), set()
+    for k, t in enumerate(ws):
+        own = np.array([of[w] for line in t for w in line], np.uint64)
+        sh, zero = sd.shingles(own), np.zeros(1, np.int64)
+        if sd.SHINGLE <= len(own) < sd.WIDTH:
+            whole = (k, 0, int(sd.run_hashes(sh, zero, len(own))[0]))
+            anchors.add(whole), runs.add(whole)
+        elif len(own) >= sd.WIDTH:
+            seeds = sd.run_hashes(sh, np.arange(len(own) - sd.SEED + 1), sd.SEED)
+            at = {i + int(seeds[i : i + sd.SPAN].argmin()) for i in range(len(seeds) - sd.SPAN + 1)}
+            anchors |= {(k, i, int(seeds[i])) for i in at}
+            at = np.array(sorted({i - j for i in at for j in range(sd.SPAN) if 0 <= i - j <= len(own) - sd.WIDTH}))
+            runs |= set(zip([k] * len(at), at.tolist(), sd.run_hashes(sh, at, sd.WIDTH).tolist()))
+    s = sd._Slice(texts)
+    rows, at, x = s.anchors()
+    assert sorted(zip(rows.tolist(), at.tolist(), x.tolist())) == sorted(anchors)
+    assert sorted(zip(*(c.tolist() for c in s.around(rows, at)))) == sorted(runs)
