@@ -44,6 +44,9 @@ BLOCK_WORDS = 1 << 21
 #: Entries of a partition of the count table, about.
 PART_ENTRIES = 2_000_000
 
+#: N-grams of a block whose counts are told to its places at once.
+SETTLED = 1 << 17
+
 BLOCKS = "block bigint, n_words bigint, doc_ids array<bigint>, sizes array<int>, words binary, vocab binary"
 
 
@@ -146,6 +149,7 @@ def _grams(sizes: np.ndarray, words: bytes, vocab: bytes, order: int) -> Iterato
         now = _mix(before * np.uint64(0x9E3779B97F4A7C15) + h + np.uint64(n + 1))
         for k in range(n):
             now[starts[sizes > k] + k] = 0
+        del before
         yield now
 
 
@@ -203,16 +207,22 @@ class _Block:
     def settle(self, sent: np.ndarray, total: np.ndarray) -> np.ndarray:
         """Counts of each place's n-gram in other documents, -1 where it has none,
         from the ``total`` of each distinct one in the order of their hashes."""
-        rest = np.where(self.has != 0, 0, -1)
-        order = np.argsort(sent, kind="stable")
-        order = order[np.searchsorted(sent[order], 1) :]
+        order = np.flatnonzero(sent).astype(np.uint32)
+        order = order[np.argsort(sent[order], kind="stable")]
+        rest = np.where(self.has != 0, np.int64(0), np.int64(-1))
         if len(order):
             key, doc = sent[order], self.doc[order]
             new = np.append(True, key[1:] != key[:-1])
-            own = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1]))  # stable: a document's places are together
-            own = np.diff(np.append(own, len(key)))
-            new = np.flatnonzero(new)
-            rest[order] = np.repeat(total, np.diff(np.append(new, len(key)))) - np.repeat(own, own)
+            own = np.append(True, doc[1:] != doc[:-1])
+            own |= new  # stable: a document's places are together
+            del key, doc
+            # a slice at a time, each from the first place of an n-gram
+            firsts = np.append(np.flatnonzero(new), len(order)).astype(np.uint32)
+            del new
+            for a in range(0, len(firsts) - 1, SETTLED):
+                at = firsts[a : a + SETTLED + 1].astype(np.int64)
+                mine = np.flatnonzero(np.append(own[at[0] : at[-1]], True))
+                rest[order[at[0] : at[-1]]] = np.repeat(total[a : a + SETTLED], np.diff(at)) - np.repeat(np.diff(mine), np.diff(mine))
         self.before = rest
         return rest
 
@@ -255,13 +265,18 @@ def _totals(group: pa.Table) -> pa.Table:
     return pa.table({"part": group["part"], "n": group["n"], "block": group["block"], "totals": pa.array([_squeeze(total[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())})
 
 
-def _answers(told: pa.Table) -> dict[int, np.ndarray]:
-    """By n the totals of a block's distinct n-grams, in the order of their hashes."""
+def _answers(told: pa.Table) -> dict[int, list[bytes]]:
+    """By n the packed totals of a block's distinct n-grams, in the order of their hashes."""
     rows = sorted(zip(told["n"].to_pylist(), told["part"].to_pylist(), range(told.num_rows)))
-    out: dict[int, list[np.ndarray]] = {}
+    out: dict[int, list[bytes]] = {}
     for n, _, k in rows:
-        out.setdefault(n, []).append(_unsqueeze(told["totals"][k].as_py()))
-    return {n: np.concatenate(x) for n, x in out.items()}
+        out.setdefault(n, []).append(told["totals"][k].as_py())
+    return out
+
+
+def _take(got: dict[int, list[bytes]], n: int) -> np.ndarray:
+    """The totals of the n-grams of n, which ``got`` then no longer holds."""
+    return np.concatenate([NOTHING, *map(_unsqueeze, got.pop(n, []))])
 
 
 NOTHING = np.zeros(0, np.int64)
@@ -275,7 +290,7 @@ def _next_runs(n: int, bits: int):
             return RUNS.empty_table()
         held, got = _Block(*(block[c][0].as_py() for c in ("sizes", "words", "vocab")), n + 1), _answers(told)
         for k in range(n):
-            held.settle(held.next(k), got.pop(k, NOTHING))
+            held.settle(held.next(k), _take(got, k))
         return pa.Table.from_pylist(_run_rows(block["block"][0].as_py(), n, held.next(n), bits), RUNS)
 
     return work
@@ -286,7 +301,7 @@ def _scorer(order: int, alpha: float, corpus: int):
         held, got = _Block(*(block[c][0].as_py() for c in ("sizes", "words", "vocab")), order), _answers(told)
         for n in range(order):
             before = held.before
-            rest = held.settle(held.next(n), got.pop(n, NOTHING))
+            rest = held.settle(held.next(n), _take(got, n))
             if n == 0:
                 log = np.log(np.maximum(rest, 1)) - np.log(np.maximum(corpus - held.sizes, 1))[held.doc]
                 continue
