@@ -757,10 +757,12 @@ def trigger_file(spark, sf_dir):
 
 
 def _log_folder(spark, sf_dir) -> tuple[str, DataFrame]:
-    """The operation log as a folder of files for a stream to read."""
+    """The operation log as a folder of files for a stream to read in order."""
+    from keytide.streaming import kv
+
     folder = work_dir(spark)
     ops = model.ops_from_events(spark, sf_dir)
-    ops.repartitionByRange(4, "seq").write.parquet(f"{folder}/log")
+    kv.write_log(ops, f"{folder}/log")
     return folder, ops
 
 

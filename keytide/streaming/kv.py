@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from keytide.operators import state
+from keytide.sources import wal
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int | None = None) -> DataFrame:
@@ -22,6 +25,22 @@ def read_log(spark: SparkSession, path: str, schema: StructType | str, files_per
     return reader.parquet(path)
 
 
+def write_log(ops: DataFrame, path: str, files: int = 4) -> None:
+    """The log as a new folder of ``files`` Parquet files for ``read_log``, by
+    ranges of seq.
+
+    A stream takes files in order of their modification times, and tasks end in
+    any order: so the files get times of their own, a second apart, in the log's
+    order.  The folder is a path that all nodes mount.
+    """
+    folder = wal.local_path(path)
+    ops.repartitionByRange(files, "seq").write.parquet(path)
+    made = sorted((f for f in os.listdir(folder) if f.startswith("part-")), key=lambda f: (int(f.split("-")[1]), f))
+    now = int(time.time())
+    for i, f in enumerate(made, 1 - len(made)):
+        os.utime(os.path.join(folder, f), (now + i, now + i))
+
+
 def last_writes(ops: DataFrame) -> DataFrame:
     """(key, op, value, seq): each key's last write or delete, as a streaming
     aggregation whose state is one row a key."""

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -138,6 +139,27 @@ def test_stream_of_states(spark, tmp_path):
     assert got == live(ops, 400)
 
 
+def test_a_log_folder_streams_in_the_order_of_the_log(spark, tmp_path, monkeypatch):
+    """The first range takes longest to write, so its file is the last to be done."""
+    from folds import live
+
+    from keytide.plans import catalog
+
+    seq = F.col("id")
+    long = F.when(seq < 100, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8000)), lambda i: F.sha2(F.concat_ws("-", seq, i), 256)), "")).otherwise(F.concat(F.lit("v"), seq))
+    op = F.when(seq % 4 == 3, "EXPIRE").when(seq < 100, "SET").otherwise("PERSIST")
+    rows = spark.range(400).select(seq.alias("seq"), (seq % 16).alias("conn"), (seq * 3).alias("ts_us"), op.alias("op"), F.concat(F.lit("k"), seq % 7).alias("key"), long.alias("value"), (seq * 3 + 2_000).alias("exp_us"))
+    rows.write.parquet(f"{tmp_path}/ops")
+    ops = spark.read.parquet(f"{tmp_path}/ops")
+    monkeypatch.setattr(model, "ops_from_events", lambda spark, sf_dir: ops)
+    folder, _ = catalog._log_folder(spark, "")
+    files = sorted((f for f in Path(folder, "log").iterdir() if f.name.startswith("part-")), key=lambda f: f.stat().st_mtime_ns)
+    spans = [spark.read.parquet(f"file://{f}").agg(F.min("seq"), F.max("seq")).first() for f in files]
+    assert len(files) == 4 and sorted(spans) == spans and len({int(f.stat().st_mtime) for f in files}) == 4
+    got = {r.key: (r.value, r.expires_at_us) for r in catalog.stream_kv_live(spark, "").collect()}
+    assert got == live([r.asDict() for r in ops.collect()], 399 * 3) and len(got) == 7
+
+
 def test_functions_read_as_of_their_operation(spark):
     def reader(host, key):
         host.tx_begin()
