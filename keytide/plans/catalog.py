@@ -593,8 +593,8 @@ def pubsub_confirmations(spark, sf_dir):
 @query("WITH " + PS_SQL + ", r AS (SELECT i.conn, m.seq, row_number() OVER (PARTITION BY i.conn ORDER BY m.seq) AS n FROM m JOIN i ON m.channel = i.channel AND m.seq > i.seq AND (i.to_seq IS NULL OR m.seq < i.to_seq)) SELECT conn, min(seq) AS seq FROM r WHERE n > 20 GROUP BY conn")
 def pubsub_overflows(spark, sf_dir):
     """Connections that never read, with a buffer of 20."""
-    rows = pubsub.deliveries(*_pubsub(spark, sf_dir))
-    return pubsub.overflows(rows.select("conn", "seq"), rows.select("conn", "seq").filter("false"), 20)
+    never = spark.createDataFrame([], "conn bigint, seq bigint")
+    return pubsub.first_overflows(*_pubsub(spark, sf_dir), never, 20)
 
 
 @query("WITH " + PS_SQL + ", r AS (SELECT i.conn, m.seq, row_number() OVER (PARTITION BY i.conn ORDER BY m.seq) AS n FROM m JOIN i ON m.channel = i.channel AND m.seq > i.seq AND (i.to_seq IS NULL OR m.seq < i.to_seq)) SELECT m.seq, m.channel, count(r.conn) AS delivered FROM m LEFT JOIN r ON r.seq = m.seq AND r.n <= 20 GROUP BY ALL")

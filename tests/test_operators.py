@@ -1,6 +1,7 @@
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from keytide import model
@@ -62,6 +63,53 @@ def test_pubsub_agrees_with_a_simulation(spark):
     assert {r.conn: r.seq for r in got.collect()} == first
 
 
+def test_overflows_make_few_deliveries(spark):
+    """Connections that read some, ends of intervals at a message's own seq, and
+    a plan without the join of every message and every connection."""
+    rng = random.Random(9)
+    log, messages, reads = [], [], []
+    for i in range(1500):
+        kind = rng.choice(["SUBSCRIBE", "SUBSCRIBE", "UNSUBSCRIBE", "PUBLISH", "PUBLISH", "READ"])
+        conn, ch = rng.randrange(10), f"c{rng.randrange(4)}"
+        if kind == "READ":
+            reads.append((conn, i))
+        elif kind == "PUBLISH":
+            messages.append((i, ch))
+        else:
+            log.append((i, conn if conn else None, kind, ch))
+            if rng.random() < 0.2:
+                messages.append((i, ch))
+    ldf = spark.createDataFrame(log, "seq bigint, conn bigint, op string, channel string")
+    mdf, rdf = spark.createDataFrame(messages, "seq bigint, channel string"), spark.createDataFrame(reads, "conn bigint, seq bigint")
+    rows = pubsub.deliveries(ldf, mdf).cache()
+    heard = {(r.seq, r.channel): r.n for r in rows.filter("conn is not null").groupBy("seq", "channel").agg(F.count("*").alias("n")).collect()}
+    named = ldf.filter("conn is not null")
+    assert {(r.seq, r.channel): r.delivered for r in pubsub.delivered(named, mdf).collect() if r.delivered} == heard
+    for buffer, read in ((0, rdf), (3, rdf), (3, rdf.filter("false")), (40, rdf)):
+        want = {r.conn: r.seq for r in pubsub.overflows(rows.select("conn", "seq"), read, buffer).collect()}
+        assert {r.conn: r.seq for r in pubsub.first_overflows(ldf, mdf, read, buffer).collect()} == want and want
+
+
+@pytest.mark.parametrize("name", ["pubsub_overflows"])
+def test_pubsub_rows_grow_with_the_log(spark, tmp_path, name):
+    """100 connections on one channel all along, 3,000 messages: 300,000 deliveries."""
+    from keytide.plans import catalog
+
+    i = F.col("id")
+    kind = F.when(i < 100, "signup").otherwise("purchase")
+    spark.range(3_100).select((i * 8).alias("event_id"), (i % 100).alias("user_id"), kind.alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    df.collect()
+    made, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kids = [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if p.nodeName().endswith("QueryStage") else [p.children().apply(k) for k in range(p.children().size())]
+        todo += kids
+        if p.metrics().contains("numOutputRows"):
+            made = max(made, p.metrics().apply("numOutputRows").value())
+    assert 0 < made < 30_000
+
+
 def nodes(spark, *rows):
     return spark.createDataFrame([(i, a, s, r, m, p, x) for i, a, s, r, m, p, x in rows], model.NODES)
 
