@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keytide.operators.sums import running_sum
+from keytide.sources.written import written
 
 BUFFER = 256
 
@@ -109,9 +110,8 @@ def delivered_to_readers(log: DataFrame, messages: DataFrame, reads: DataFrame,
     """``delivered`` where a full buffer ends its connection: neither the message
     that finds it full nor any later one counts for it, and what it asks for
     afterwards counts for nothing.  ``reads`` as in ``overflows``."""
-    full = overflows(deliveries(log, messages).select("conn", "seq"), reads, buffer).withColumnRenamed("seq", "full_seq")
-    # a place for the end before the message at the same place
-    kept = log.join(full, "conn", "left").filter(F.col("full_seq").isNull() | (F.col("seq") < F.col("full_seq"))).select((F.col("seq") * 2).alias("seq"), "conn", "op", "channel")
-    ends = full.select((F.col("full_seq") * 2).alias("seq"), "conn", F.lit("CLOSE").alias("op"), F.lit(None).cast("string").alias("channel"))
-    out = delivered(kept.unionByName(ends), messages.select((F.col("seq") * 2 + 1).alias("seq"), "channel"))
-    return out.withColumn("seq", F.floor(F.col("seq") / 2))
+    full = written(first_overflows(log, messages, reads, buffer), "full").withColumnRenamed("seq", "full_seq")
+    # an end counts before the message at its place, as in ``delivered``
+    kept = log.join(full, "conn", "left").filter(F.col("full_seq").isNull() | (F.col("seq") < F.col("full_seq"))).select("seq", "conn", "op", "channel")
+    ends = full.select(F.col("full_seq").alias("seq"), "conn", F.lit("CLOSE").alias("op"), F.lit(None).cast("string").alias("channel"))
+    return delivered(kept.unionByName(ends), messages)

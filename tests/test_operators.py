@@ -90,7 +90,7 @@ def test_overflows_make_few_deliveries(spark):
         assert {r.conn: r.seq for r in pubsub.first_overflows(ldf, mdf, read, buffer).collect()} == want and want
 
 
-@pytest.mark.parametrize("name", ["pubsub_overflows"])
+@pytest.mark.parametrize("name", ["pubsub_overflows", "pubsub_backpressure"])
 def test_pubsub_rows_grow_with_the_log(spark, tmp_path, name):
     """100 connections on one channel all along, 3,000 messages: 300,000 deliveries."""
     from keytide.plans import catalog
