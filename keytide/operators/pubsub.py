@@ -69,6 +69,15 @@ def heard_intervals(log: DataFrame, messages: DataFrame) -> DataFrame:
     return ends.select("conn", "channel", F.col("seq").alias("from_seq"), "to_seq", F.col("running").alias("first"), heard.alias("heard")).filter("heard > 0")
 
 
+def fanout(log: DataFrame, messages: DataFrame) -> DataFrame:
+    """(channel, n, first_seq, conns) of channels that are heard: deliveries, the
+    first message delivered, and how many connections hear any.  As
+    ``deliveries`` grouped by channel, from counts alone."""
+    heard = heard_intervals(log, messages).groupBy("channel").agg(F.sum("heard").alias("n"), F.countDistinct("conn").alias("conns"))
+    first = delivered(log, messages).filter("delivered > 0").groupBy("channel").agg(F.min("seq").alias("first_seq"))
+    return heard.join(first, "channel").select("channel", "n", "first_seq", "conns")
+
+
 def confirmations(log: DataFrame) -> DataFrame:
     """(seq, conn, channel, channels): each SUBSCRIBE's confirmation, with the
     number of channels its connection then has."""

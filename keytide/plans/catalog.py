@@ -582,7 +582,7 @@ def pubsub_rate(spark, sf_dir):
 
 @query("WITH " + PS_SQL + " SELECT m.channel, count(*) AS n, min(m.seq) AS first_seq, count(DISTINCT i.conn) AS conns FROM m JOIN i ON m.channel = i.channel AND m.seq > i.seq AND (i.to_seq IS NULL OR m.seq < i.to_seq) GROUP BY m.channel")
 def pubsub_fanout(spark, sf_dir):
-    return pubsub.deliveries(*_pubsub(spark, sf_dir)).groupBy("channel").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.countDistinct("conn").alias("conns"))
+    return pubsub.fanout(*_pubsub(spark, sf_dir))
 
 
 @query("WITH " + PS_SQL + ", u AS (SELECT conn, seq, CASE op WHEN 'S' THEN 1 ELSE -1 END AS delta FROM d) SELECT l.seq, l.conn, l.channel, (SELECT sum(delta) FROM u WHERE u.conn = l.conn AND u.seq <= l.seq)::BIGINT AS channels FROM l WHERE op = 'S'")

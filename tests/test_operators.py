@@ -63,7 +63,7 @@ def test_pubsub_agrees_with_a_simulation(spark):
     assert {r.conn: r.seq for r in got.collect()} == first
 
 
-def test_overflows_make_few_deliveries(spark):
+def test_overflows_and_fanout_make_few_deliveries(spark):
     """Connections that read some, ends of intervals at a message's own seq, and
     a plan without the join of every message and every connection."""
     rng = random.Random(9)
@@ -82,6 +82,8 @@ def test_overflows_make_few_deliveries(spark):
     ldf = spark.createDataFrame(log, "seq bigint, conn bigint, op string, channel string")
     mdf, rdf = spark.createDataFrame(messages, "seq bigint, channel string"), spark.createDataFrame(reads, "conn bigint, seq bigint")
     rows = pubsub.deliveries(ldf, mdf).cache()
+    want = rows.groupBy("channel").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.countDistinct("conn").alias("conns"))
+    assert sorted(pubsub.fanout(ldf, mdf).collect()) == sorted(want.collect())
     heard = {(r.seq, r.channel): r.n for r in rows.filter("conn is not null").groupBy("seq", "channel").agg(F.count("*").alias("n")).collect()}
     named = ldf.filter("conn is not null")
     assert {(r.seq, r.channel): r.delivered for r in pubsub.delivered(named, mdf).collect() if r.delivered} == heard
@@ -90,7 +92,7 @@ def test_overflows_make_few_deliveries(spark):
         assert {r.conn: r.seq for r in pubsub.first_overflows(ldf, mdf, read, buffer).collect()} == want and want
 
 
-@pytest.mark.parametrize("name", ["pubsub_overflows", "pubsub_backpressure"])
+@pytest.mark.parametrize("name", ["pubsub_overflows", "pubsub_backpressure", "pubsub_fanout"])
 def test_pubsub_rows_grow_with_the_log(spark, tmp_path, name):
     """100 connections on one channel all along, 3,000 messages: 300,000 deliveries."""
     from keytide.plans import catalog
