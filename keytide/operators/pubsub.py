@@ -31,15 +31,15 @@ def intervals(log: DataFrame) -> DataFrame:
     return changes(log).withColumn("to_seq", F.lead("seq").over(w)).filter("delta = 1").select("conn", "channel", F.col("seq").alias("from_seq"), "to_seq")
 
 
-def delivered(log: DataFrame, messages: DataFrame) -> DataFrame:
+def delivered(log: DataFrame, messages: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """(seq, channel, delivered) for messages (seq, channel): how many
     connections hear each.
 
-    A running sum of membership changes gives the count; subscribers and
-    messages of a channel never meet in a join.
+    A running sum of membership changes, over ranges of ``bucket`` places, gives
+    the count; subscribers and messages of a channel never meet in a join.
     """
     both = changes(log).select("channel", "seq", "delta", F.lit(False).alias("m")).unionByName(messages.select("channel", "seq", F.lit(0).alias("delta"), F.lit(True).alias("m")))
-    return running_sum(both, "delta", ["channel"], then=("delta",)).filter("m").select("seq", "channel", F.col("running").alias("delivered"))
+    return running_sum(both, "delta", ["channel"], bucket, ("delta",)).filter("m").select("seq", "channel", F.col("running").alias("delivered"))
 
 
 def deliveries(log: DataFrame, messages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from folds import live, replay, session
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keytide import model
 from keytide.operators import commands, replication, state
@@ -226,3 +227,26 @@ def test_administration_in_order(spark):
 
     got = [r.reply for r in commands.replies(df, admin).orderBy("seq").collect()]
     assert got == ["+OK", ":7", "-ERR function 'g' not found in module 'm'", "*1 $m", "$module:m loaded_at:1970-01-01T00:00:00Z exec_count:1", "+trigger_1", "*1 $trigger_1 SET a* m.f", "+OK", "-ERR trigger not found", "+OK", "-ERR module 'm' not found", "-ERR modules can't be loaded here", "$me"]
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_any_number_of_administration_commands(spark, own):
+    n, names = 120_000, ("WASM.LIST", "WASM.INFO", "WASM.EXEC", "WASM.TRIGGERS", "WASM.UNTRIGGER", "WASM.LOADFILE", "WASM.DROP")
+    i = F.col("id")
+    cmd = F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    args = F.when(cmd == "WASM.LIST", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("m"), i % 3), F.lit(None).cast("string")))
+    rows = spark.range(n).select((i % 5).alias("conn"), (n - i).alias("seq"), i.alias("ts_us"), cmd.alias("cmd"), args.alias("args"))
+    calls = []
+
+    def admin(name, args):
+        calls.append((name, args))
+        return f"+{len(calls)}"
+
+    out = commands.replies(rows, admin if own else None)
+    got = {r.seq: r.reply for r in out.collect()}
+    assert len(got) == n
+    if own:
+        assert [got[k] for k in range(1, n + 1)] == [f"+{k}" for k in range(1, n + 1)] and calls[-1] == ("WASM.LIST", []) and calls[-2] == ("WASM.INFO", ["m1", ""])
+    else:
+        told = {"WASM.LIST": "*0", "WASM.TRIGGERS": "*0", "WASM.UNTRIGGER": "-ERR trigger not found", "WASM.LOADFILE": "-ERR modules can't be loaded here"}
+        assert all(got[n - k] == told.get(names[k % len(names)], f"-ERR module 'm{k % 3}' not found") for k in range(n))
